@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.llm import lookalike, mixing, quota, tokens
+from creditweave.llm import language, lookalike, mixing, quota, subjects, tokens
 from creditweave.session import cut
 from creditweave.sources import load
 
@@ -22,6 +22,28 @@ def p1_names(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.consistent(rows, "name", "name_consistent").withColumn("changed", ~F.col("name").eqNullSafe(F.col("name_consistent")))
 
 
+def _profiles(spark: SparkSession, base: str) -> DataFrame:
+    rows = load(spark, base, "validation_sample", "artist_id", "profile", "profile_lang")
+    return language.languages(rows, ["artist_id", "profile_lang"], "profile", language.fit_prototypes(rows, "profile", "profile_lang"))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    found = _profiles(spark, base).select("artist_id", language.label_column(F.col("profile_lang")).alias("label"), F.array_distinct("segments.lang").alias("langs"))
+    wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
+    return found.where((F.size("langs") > 0) & wrong).select("artist_id", F.explode("langs").alias("lang"))
+
+
+def p2_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Each segment of each profile with its language and confidence."""
+    return _profiles(spark, base).select("artist_id", F.posexplode("segments").alias("pos", "s")).select("artist_id", (F.col("pos") + 1).alias("pos"), "s.segment", "s.lang", "s.confidence")
+
+
+def p2_profiles(spark: SparkSession, base: str) -> DataFrame:
+    """Each profile with its language, confidence and number of languages; null language: no words."""
+    judged = language.document_language(_profiles(spark, base))
+    return judged.select("artist_id", "profile_lang", "lang", "confidence", F.size(F.array_distinct("segments.lang")).alias("n_languages"))
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     _, report = _sample(spark, base)
     return report.where("shortfall").select("field_name", "category")
@@ -62,7 +84,31 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p6_found, p6_sample, p6_report, p8_ids, p9_found, p9_mix, p9_shares)}
+def _subjects(spark: SparkSession, base: str, mentions: bool = False) -> DataFrame:
+    docs = load(spark, base, "documents", "doc_id", "text")
+    model = subjects.fit_subjects(docs, load(spark, base, "doc_subjects"), load(spark, base, "subject_areas"))
+    return subjects.subjects_of(docs, ["doc_id"], "text", model, mentions)
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return _subjects(spark, base).select("doc_id", "subject")
+
+
+def p10_subjects(spark: SparkSession, base: str) -> DataFrame:
+    """Subjects with the sentences that speak of them and the mean confidence; ones mentioned in passing too."""
+    return _subjects(spark, base, mentions=True)
+
+
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and share of the corpus by subject."""
+    found = _subjects(spark, base).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
+    total = load(spark, base, "documents").agg(F.count(F.lit(1)).alias("total"))
+    areas = load(spark, base, "subject_areas", "subject")
+    n = F.coalesce("n_docs", F.lit(0))
+    return areas.join(found, "subject", "left").crossJoin(F.broadcast(total)).select("subject", n.alias("n_docs"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(0.0).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_segments, p2_profiles, p6_found, p6_sample, p6_report, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_subjects, p10_composition)}
 
 SQL = {
     "p6_found": """
