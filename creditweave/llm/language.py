@@ -271,12 +271,16 @@ def languages(df: DataFrame, columns: list[str], text: str, prototypes: np.ndarr
     return narrow.mapInArrow(_segment_rows(prototypes), f"{schema}, segments array<struct<segment: string, lang: string, confidence: double>>")
 
 
+def _is(lang: str):
+    return lambda s: s["lang"] == lang
+
+
 def document_language(judged: DataFrame) -> DataFrame:
     """Adds ``lang`` and ``confidence`` of the document: its language by words, and the mean confidence of its segments times that language's share."""
     size = F.aggregate("segments", F.lit(0.0), lambda a, s: a + F.length(s["segment"]))
     best = None
     for k in LANGUAGES:
-        own = F.filter("segments", lambda s, k=k: s["lang"] == k)
+        own = F.filter("segments", _is(k))
         n = F.aggregate(own, F.lit(0.0), lambda a, s: a + F.length(s["segment"]) * s["confidence"])
         best = (best or []) + [F.struct(n.alias("n"), F.lit(k).alias("k"))]
     top = F.array_max(F.array(*best))

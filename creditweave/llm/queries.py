@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.llm import language, lookalike, mixing, quota, subjects, tokens
+from creditweave.llm import language, lookalike, mixing, names, quota, subjects, tokens
 from creditweave.session import cut
 from creditweave.sources import load
 
@@ -44,6 +44,19 @@ def p2_profiles(spark: SparkSession, base: str) -> DataFrame:
     return judged.select("artist_id", "profile_lang", "lang", "confidence", F.size(F.array_distinct("segments.lang")).alias("n_languages"))
 
 
+def _names(spark: SparkSession, base: str) -> DataFrame:
+    return load(spark, base, "validation_sample", "artist_id", "name", "realname", "is_group", "debut_year", "gender")
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return names.linked_pairs(_names(spark, base), "artist_id")
+
+
+def p3_entities(spark: SparkSession, base: str) -> DataFrame:
+    """Each row with the entity it belongs to and the rows of that entity."""
+    return names.linked_sets(_names(spark, base), "artist_id")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     _, report = _sample(spark, base)
     return report.where("shortfall").select("field_name", "category")
@@ -108,7 +121,7 @@ def p10_composition(spark: SparkSession, base: str) -> DataFrame:
     return areas.join(found, "subject", "left").crossJoin(F.broadcast(total)).select("subject", n.alias("n_docs"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(0.0).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_segments, p2_profiles, p6_found, p6_sample, p6_report, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_subjects, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_segments, p2_profiles, p3_found, p3_entities, p6_found, p6_sample, p6_report, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_subjects, p10_composition)}
 
 SQL = {
     "p6_found": """
