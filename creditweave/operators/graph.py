@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditweave.session import cut
@@ -33,3 +33,229 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         if same:
             break
     return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def symmetric(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``a, b, w``: each undirected edge in both directions."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    e = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), w.cast("double").alias("w"))
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def giant_component(edges: DataFrame) -> DataFrame:
+    """Edges of the largest component; of equally large ones that of the smallest id."""
+    comp = cut(connected_components(edges))
+    top = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    inside = comp.join(F.broadcast(top.select("component")), "component").select(F.col("node").alias("u"))
+    return edges.join(inside, "u", "left_semi")
+
+
+def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``node, coreness`` by H-index relaxation: each node takes the H-index of its neighbours' values until none changes."""
+    sym = cut(symmetric(edges).where("a <> b").select("a", "b").distinct())
+    now = cut(sym.groupBy("a").agg(F.count(F.lit(1)).cast("int").alias("c")))
+    for _ in range(most_rounds):
+        # counted by value first, so that a hub's neighbours are never gathered: the H-index is the largest min(value, neighbours of at least it)
+        hist = sym.join(now.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("c")))
+        near = hist.select("a", F.least("c", upto).cast("int").alias("h")).groupBy("a").agg(F.max("h").alias("h"))
+        h = F.col("h")
+        new = cut(near.join(now, "a").select("a", F.least(h, F.col("c")).cast("int").alias("c"), (h < F.col("c")).alias("moved")))
+        moved = new.where("moved").limit(1).count()
+        now = new.select("a", "c")
+        if not moved:
+            break
+    return now.select(F.col("a").alias("node"), F.col("c").alias("coreness"))
+
+
+def pagerank(edges: DataFrame, weight: str | None = "w", damping: float = 0.85, rounds: int = 30, tolerance: float = 0.0) -> DataFrame:
+    """``node, pagerank`` of the undirected weighted graph after ``rounds`` steps, or fewer once the L1 change is below n x tolerance.
+
+    The out-weights are joined once; a step is one join and one aggregate with a checkpoint every fifth.
+    """
+    sym = symmetric(edges, weight)
+    out = sym.groupBy("a").agg(F.sum("w").alias("ow"))
+    links = cut(sym.join(out, "a").select("a", "b", (F.col("w") / F.col("ow")).alias("p")))
+    nodes = cut(out.select(F.col("a").alias("node")))
+    n = nodes.count()
+    rank = nodes.withColumn("x", F.lit(1.0 / max(1, n)))
+    for i in range(rounds):
+        got = links.join(rank.select(F.col("node").alias("a"), "x"), "a").groupBy("b").agg(F.sum(F.col("x") * F.col("p")).alias("in"))
+        new = got.select(F.col("b").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("in")).alias("x"))
+        if tolerance or i % 5 == 4:
+            new = cut(new)
+        if tolerance and new.join(rank.withColumnRenamed("x", "y"), "node").agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0] < n * tolerance:
+            rank = new
+            break
+        rank = new
+    return rank.select("node", F.col("x").alias("pagerank"))
+
+
+def eigenvector(edges: DataFrame, weight: str | None = "w", rounds: int = 60) -> DataFrame:
+    """``node, eigenvector``: leading eigenvector of A + I by power iteration, of length 1."""
+    links = cut(symmetric(edges, weight))
+    x = links.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    for i in range(rounds):
+        near = links.join(x.select(F.col("node").alias("b"), F.col("x").alias("y")), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("y")).alias("y"))
+        new = x.join(near, x.node == near.a).select("node", (F.col("x") + F.col("y")).alias("x"))
+        if i % 5 == 4:
+            new = cut(new)
+            size = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+            new = new.select("node", (F.col("x") / size).alias("x"))
+        x = new
+    x = cut(x)
+    size = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+    return x.select("node", (F.col("x") / size).alias("eigenvector"))
+
+
+def non_backtracking(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node, nonbacktracking``: first half of the leading eigenvector of [[A, I - D], [I, 0]], clipped at 0, of length 1.
+
+    Two vectors are iterated: x' = A x + (I - D) y and y' = x, with a shift of 1 against oscillation.
+    """
+    links = cut(symmetric(edges).select("a", "b"))
+    deg = links.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    s = cut(deg.select(F.col("a").alias("node"), "d", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))
+    for i in range(rounds):
+        near = links.join(s.select(F.col("node").alias("b"), F.col("x").alias("z")), "b").groupBy("a").agg(F.sum("z").alias("ax"))
+        s = s.join(near, s.node == near.a).select("node", "d", (F.col("ax") + (1 - F.col("d")) * F.col("y") + F.col("x")).alias("x"), (F.col("x") + F.col("y")).alias("y"))
+        if i % 5 == 4 or i == rounds - 1:
+            s = cut(s)
+            size = s.agg(F.sqrt(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")))).first()[0] or 1.0
+            s = s.select("node", "d", (F.col("x") / size).alias("x"), (F.col("y") / size).alias("y"))
+    s = s.withColumn("x", F.greatest("x", F.lit(0.0)))
+    size = s.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+    return s.select("node", (F.col("x") / size).alias("nonbacktracking"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """``a < b < c`` with the weights of the three edges.
+
+    Edges point from the end of smaller degree to the other one, so that a hub opens no wedges: a node has at most sqrt(2 m) edges out.
+    """
+    e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").where("u <> v")
+    d = symmetric(edges).groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    o = e.join(d.withColumnsRenamed({"a": "u", "d": "du"}), "u").join(d.withColumnsRenamed({"a": "v", "d": "dv"}), "v")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    o = o.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("t"), "w")
+    p, q = o.select("s", F.col("t").alias("x"), F.col("w").alias("wx")), o.select("s", F.col("t").alias("y"), F.col("w").alias("wy"))
+    wedge = p.join(q, "s").where("x < y")
+    closed = wedge.join(e.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("w").alias("wxy")), ["x", "y"])
+    return closed.select(F.col("s").alias("n1"), F.col("x").alias("n2"), F.col("y").alias("n3"), F.col("wx").alias("w12"), F.col("wy").alias("w13"), F.col("wxy").alias("w23"))
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """``node, triangles, clustering, weighted``: local clustering, plain and by geometric mean of weights over the largest one; 0 below degree 2."""
+    top = edges.agg(F.max("w").alias("top"))
+    t = triangles(edges).crossJoin(F.broadcast(top))
+    g = F.pow(F.col("w12") / F.col("top") * (F.col("w13") / F.col("top")) * (F.col("w23") / F.col("top")), F.lit(1.0 / 3))
+    per = t.select(F.explode(F.array("n1", "n2", "n3")).alias("node"), g.alias("g")).groupBy("node").agg(F.count(F.lit(1)).alias("t"), F.sum("g").alias("g"))
+    d = symmetric(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    can = F.col("d") * (F.col("d") - 1) / 2
+    return d.join(per, "node", "left").select("node", F.coalesce("t", F.lit(0)).alias("triangles"), F.coalesce(F.try_divide("t", can), F.lit(0.0)).alias("clustering"), F.coalesce(F.try_divide("g", can), F.lit(0.0)).alias("weighted"))
+
+
+def shared_partners(edges: DataFrame) -> DataFrame:
+    """``u, v, esp``: common neighbours of the ends of each edge, from the triangles of the graph."""
+    t = triangles(edges.select("u", "v", F.lit(1.0).alias("w")))
+    sides = t.select(F.explode(F.array(*[F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("n1", "n2"), ("n1", "n3"), ("n2", "n3"))])).alias("e"))
+    n = sides.groupBy("e.u", "e.v").agg(F.count(F.lit(1)).alias("esp"))
+    return edges.select("u", "v").join(n, ["u", "v"], "left").select("u", "v", F.coalesce("esp", F.lit(0)).alias("esp"))
+
+
+def explained_partners(edges: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Shared partners of each edge and those that the shared works alone impose.
+
+    ``incidence(a, r)`` is the bipartite graph that ``edges`` are projected from.  Result:
+    ``u, v, esp, esp_explained, n_shared, largest_cast, ceiling, beyond``.
+    """
+    inc = incidence.select("a", "r").distinct()
+    size = inc.groupBy("r").agg(F.count(F.lit(1)).alias("k"))
+    x, y = inc.select(F.col("a").alias("u"), "r"), inc.select(F.col("a").alias("v"), "r")
+    works = x.join(y, "r").where("u < v").join(edges.select("u", "v"), ["u", "v"], "left_semi")
+    w = works.join(size, "r").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_shared"), F.max("k").alias("largest_cast"))
+    third = works.join(inc.select("r", F.col("a").alias("z")), "r").where("z <> u and z <> v").groupBy("u", "v").agg(F.count_distinct("z").alias("esp_explained"))
+    out = shared_partners(edges).join(w, ["u", "v"], "left").join(third, ["u", "v"], "left")
+    ceiling = F.greatest(F.coalesce("largest_cast", F.lit(0)) - 2, F.lit(0))
+    return out.select("u", "v", "esp", F.coalesce("esp_explained", F.lit(0)).alias("esp_explained"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"), "largest_cast", ceiling.alias("ceiling"), (F.col("esp") > ceiling).alias("beyond"))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 5, most_edges: int = 20_000_000) -> DataFrame:
+    """``node, betweenness``, unweighted and normalised by 2 / ((n - 1)(n - 2)); with ``sources`` estimated from so many drawn ones.
+
+    Sources are spread over the tasks; each runs Brandes' algorithm on an adjacency array
+    that is broadcast.  ``most_edges`` bounds that array (16 bytes an edge); larger graphs
+    are refused, take a component or a sample of them.
+    """
+    import numpy as np
+
+    spark = edges.sparkSession
+    e = edges.select("u", "v").where("u <> v").distinct()
+    if (m := e.count()) > most_edges:
+        raise ValueError(f"{m} edges exceed most_edges={most_edges}")
+    pdf = e.toPandas()  # bounded by most_edges
+    ids, code = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
+    n = len(ids)
+    a, b = code[: len(pdf)], code[len(pdf) :]
+    src, dst = np.concatenate([a, b]).astype(np.int32), np.concatenate([b, a]).astype(np.int32)
+    order = np.argsort(src, kind="stable")
+    start = np.searchsorted(src[order], np.arange(n + 1))
+    shared = spark.sparkContext.broadcast((start, dst[order]))
+    chosen = np.arange(n) if not sources or sources >= n else np.sort(np.random.default_rng(seed).choice(n, sources, replace=False))
+    scale = n / max(1, len(chosen))
+
+    def brandes(batches):
+        start, dst = shared.value
+        total = np.zeros(n)
+        for pdf in batches:
+            for s in pdf["s"]:
+                dist, paths = np.full(n, -1, np.int32), np.zeros(n)
+                dist[s], paths[s] = 0, 1
+                level, levels = np.array([s]), []
+                while len(level):
+                    levels.append(level)
+                    size = start[level + 1] - start[level]
+                    at = np.repeat(start[level] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                    frm, to = np.repeat(level, size), dst[at]
+                    new = to[dist[to] < 0]
+                    dist[new] = len(levels)
+                    ahead = dist[to] == len(levels)
+                    np.add.at(paths, to[ahead], paths[frm[ahead]])
+                    level = np.unique(new)
+                dep = np.zeros(n)
+                for level in levels[:0:-1]:
+                    size = start[level + 1] - start[level]
+                    at = np.repeat(start[level] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                    frm, to = np.repeat(level, size), dst[at]
+                    back = dist[to] == dist[frm] - 1
+                    np.add.at(dep, to[back], paths[to[back]] / paths[frm[back]] * (1 + dep[frm[back]]))
+                dep[s] = 0
+                total += dep
+        used = np.flatnonzero(total)
+        import pandas as pd
+
+        yield pd.DataFrame({"i": used, "x": total[used]})
+
+    parts = min(len(chosen), 4 * spark.sparkContext.defaultParallelism) or 1
+    rows = spark.createDataFrame([(int(s),) for s in chosen], "s long").repartition(parts)
+    got = rows.mapInPandas(brandes, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    names = spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(ids)], "i long, node long")
+    norm = scale / ((n - 1) * (n - 2)) if n > 2 else 0.0  # each pair is met from both ends
+    return names.join(got, "i", "left").select("node", (F.coalesce("x", F.lit(0.0)) * norm).alias("betweenness"))
+
+
+def snowball(edges: DataFrame, start: list[int], most_nodes: int) -> DataFrame:
+    """Edges induced by the nodes met by breadth-first search from ``start`` until ``most_nodes`` are met; nodes of a wave in order of id."""
+    sym = cut(symmetric(edges).select("a", "b"))
+    met = edges.sparkSession.createDataFrame([(s, 0) for s in start], "node long, wave int")
+    front, wave = met, 0
+    while True:
+        wave += 1
+        near = sym.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(met, "node", "left_anti")
+        room = most_nodes - met.count()
+        front = cut(near.orderBy("node").limit(max(0, room)).withColumn("wave", F.lit(wave)))
+        if front.limit(1).count() == 0:
+            break
+        met = cut(met.unionByName(front))
+    n = met.select("node")
+    return edges.join(n.withColumnRenamed("node", "u"), "u", "left_semi").join(n.withColumnRenamed("node", "v"), "v", "left_semi")
