@@ -312,7 +312,9 @@ def near_cores(cores: DataFrame) -> DataFrame:
     tagged = cores.select(F.when(F.col("is_group"), "g").otherwise("p").alias("g"), "core")
     index = tagged.mapInArrow(_keys(False), "key string, core string")
     probes = tagged.mapInArrow(_keys(True), "key string, core string").withColumnRenamed("core", "other")
-    pairs = index.join(probes, "key").where("core <> other").select(F.substring("key", 1, 1).alias("g"), F.least("core", "other").alias("core_a"), F.greatest("core", "other").alias("core_b")).distinct()
+    # swaps of neighbours are two edits here; what is left is verified with the banded distance
+    close = F.levenshtein("core", "other", 2 * EDITS).between(0, 2 * EDITS)
+    pairs = index.join(probes, "key").where("core <> other").where(close).select(F.substring("key", 1, 1).alias("g"), F.least("core", "other").alias("core_a"), F.greatest("core", "other").alias("core_b")).distinct()
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -455,7 +457,7 @@ def _person_links(matcher: Matcher, forms: list[_Form], guests: bool) -> Iterato
             continue
         w = g[0]
         near = set().union(*(index["base", x] for x in matcher.bases(w)), *(index["near", x] for x in _without_a_letter(w)))
-        if len(w) <= 5 and w not in matcher.common:
+        if len(w) == 1 or (len(w) <= 5 and w not in matcher.common):
             near |= index["begins", w]
         for j in near:
             if i == j:
@@ -541,7 +543,7 @@ def name_links(rows: DataFrame, key: str) -> DataFrame:
     same = forms.groupBy(*parts).agg(F.min("id").alias("rep"))
     inside = forms.join(same.withColumnRenamed("rep", "v"), [forms[p].eqNullSafe(same[p]) for p in parts]).select(F.col("id").alias("u"), "v")
     same = cut(same)
-    near = near_cores(same.select("is_group", "core").distinct())
+    near = cut(near_cores(same.select("is_group", "core").distinct()))
     home = same.withColumn("block", F.col("core"))
     pairs = near.select("is_group", F.concat_ws("|", "core_a", "core_b").alias("block"), F.explode(F.array("core_a", "core_b")).alias("core"))
     guest = same.join(pairs, ["is_group", "core"])
