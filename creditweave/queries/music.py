@@ -31,7 +31,7 @@ def STR1_clean_name(spark, base):
 
 
 def STR2_norm(spark, base):
-    return load(spark, base, "validation_sample").select("artist_id", T.norm("realname").alias("key"))
+    return load(spark, base, "validation_sample").select("artist_id", T.norm(F.col("realname")).alias("key"))
 
 
 def STR3_first_token(spark, base):
