@@ -180,7 +180,7 @@ def explained_partners(edges: DataFrame, incidence: DataFrame) -> DataFrame:
     return out.select("u", "v", "esp", F.coalesce("esp_explained", F.lit(0)).alias("esp_explained"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"), "largest_cast", ceiling.alias("ceiling"), (F.col("esp") > ceiling).alias("beyond"))
 
 
-def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 5, most_edges: int = 20_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 5, most_edges: int = 5_000_000) -> DataFrame:
     """``node, betweenness``, unweighted and normalised by 2 / ((n - 1)(n - 2)); with ``sources`` estimated from so many drawn ones.
 
     Sources are spread over the tasks; each runs Brandes' algorithm on an adjacency array

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditweave.functions.text import decade
+from creditweave.operators.rank import group_rank
 
 # Names that stand for nobody in particular.
 EXCLUDED_NAMES = [r"^various( artists?)?( \(\d+\))?$", r"^unknown artist", r"^no artist", r"^traditional$"]
@@ -86,7 +87,6 @@ def unique_name_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 def rank_quintile(df: DataFrame, column: str, key: str, bins: int = 5, by: list[str] | None = None) -> DataFrame:
     """Bin 1..bins of each row by rank, edges at equal steps of the rank; ties by ``key``."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(column, key))).withColumn("__n", F.count(F.lit(1)).over(w))
+    r = group_rank(df, by or [], [column, key])
     k = F.ceil((F.col("__r") - 1) * bins / F.greatest(F.col("__n") - 1, F.lit(1)))
     return r.withColumn("quintile", F.greatest(k, F.lit(1)).cast("int")).drop("__r", "__n")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweave.operators.rank import group_rank
 from creditweave.session import cut
 
 
@@ -126,11 +127,12 @@ def wald(beta: np.ndarray, cov: np.ndarray, which: list[int]) -> tuple[float, in
 
 def stratified_shuffle(df: DataFrame, key: str, label: str, by: list[str], seed: int) -> DataFrame:
     """``label`` of the rows dealt out anew within each stratum, by hash of key and seed; counts of each stratum stay."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(key))
-    dealt = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key))
-    a = df.withColumn("__i", place)
-    b = df.select(*by, F.col(label).alias("__l"), dealt.alias("__i"))
-    return a.join(b, [*by, "__i"]).withColumn(label, F.col("__l")).drop("__i", "__l")
+    a = group_rank(df, by, [key], "__at", "__n").drop("__n", label)
+    b = group_rank(df.select(*by, key, label), by, [F.xxhash64(F.lit(seed), key), key], "__j", "__n")
+    names = [f"__b{k}" for k in range(len(by))]
+    b = b.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col(label), "__j")
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]
+    return a.join(b, [F.col("__at") == F.col("__j"), *on]).drop("__at", "__j", *names)
 
 
 def difference_test(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
