@@ -258,7 +258,53 @@ lab AS (SELECT unnest(['F', 'M', 'mixed', 'unknown']) AS l),
 conf AS (SELECT a.l AS truth, b.l AS guess, count(v.artist_id) AS n FROM lab a CROSS JOIN lab b
   LEFT JOIN validation_sample v ON v.human_gender = a.l AND v.gender = b.l GROUP BY 1, 2)"""
 
+_PARTS = r"""
+tf AS (SELECT row_id, release_id, s, list_filter(list_transform(regexp_split_to_array(s, '\s*(?:,|&|;|/)\s*'), lambda x: trim(x)), lambda x: x <> '') AS parts
+  FROM (SELECT row_id, release_id, trim(coalesce(tracks, '')) AS s FROM raw_ra)
+  WHERE s <> '' AND NOT (regexp_matches(s, '[A-Za-z]{3,}') AND NOT regexp_full_match(s, '[A-Za-z0-9 ,;&/\-–—]+'))
+    AND NOT regexp_matches(s, '\b(all|except|exept|tracks?|tutti|tutte|various|unknown)\b', 'i')),
+ends AS (SELECT row_id, release_id, nr, x, regexp_split_to_array(x, '(?i)\s+(?:to|a|-|–|—)\s+') AS e
+  FROM (SELECT row_id, release_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS nr FROM tf)),
+spec AS (SELECT row_id, release_id, nr, CASE WHEN len(e) = 2 THEN 'RANGE' ELSE 'ONE' END AS kind,
+  CASE WHEN len(e) = 2 THEN upper(trim(e[1])) ELSE upper(x) END AS first, CASE WHEN len(e) = 2 THEN upper(trim(e[2])) END AS last FROM ends)"""
+
+
+def _role_sql() -> str:
+    def listed(k: str) -> str:
+        return "list_has_any(l, [" + ", ".join("'" + x.lower() + "'" for x in T.ROLE_LISTS[k]) + "])"
+
+    def word(k: str) -> str:
+        return r"regexp_matches(t, '\b(" + "|".join(T.ROLE_WORDS[k].split()) + r")\b', 'i')"
+
+    return f"""
+WITH x AS (SELECT CASE WHEN extra = 0 THEN 'main' ELSE 'umbrella' END AS scope,
+  list_filter(list_transform(string_split(regexp_replace(coalesce(role, ''), '\\[[^\\]]*\\]', '', 'g'), ','), lambda v: trim(v)), lambda v: v <> '') AS p FROM raw_ra),
+y AS (SELECT scope, list_transform(p, lambda v: lower(v)) AS l, array_to_string(p, ' ') AS t, len(p) AS n FROM x)
+SELECT scope, CASE WHEN n = 0 THEN CASE WHEN scope = 'main' THEN 'performance' ELSE 'other' END WHEN {listed("creative")} THEN 'creative' WHEN {listed("performance")} THEN 'performance'
+  WHEN {word("creative")} THEN 'creative' WHEN {word("performance")} THEN 'performance' WHEN {listed("technical")} OR {word("technical")} THEN 'technical' ELSE 'other' END AS role_class, count(*) AS n FROM y GROUP BY 1, 2"""
+
+
+_RESOLVED = f"""
+WITH {_PARTS},
+tk AS (SELECT release_id, sequence, position, coalesce(nullif(trim(track_id), ''), 'S' || release_id::varchar || '_' || sequence::varchar) AS track_key FROM (SELECT DISTINCT release_id, sequence, position, track_id FROM raw_reltracks)),
+o AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY sequence, track_key) - 1 AS ordinal FROM tk),
+posn AS (SELECT release_id, upper(trim(position)) AS position, max(ordinal) AS ordinal FROM o WHERE trim(position) <> '' GROUP BY 1, 2),
+got AS (SELECT s.row_id, s.release_id, a.ordinal AS lo, CASE WHEN kind = 'ONE' THEN a.ordinal ELSE b.ordinal END AS hi FROM spec s
+  LEFT JOIN posn a ON a.release_id = s.release_id AND a.position = s.first LEFT JOIN posn b ON b.release_id = s.release_id AND b.position = s.last),
+ok AS (SELECT row_id FROM got GROUP BY 1 HAVING bool_and(lo IS NOT NULL AND hi IS NOT NULL AND coalesce(lo <= hi, FALSE))),
+res AS (SELECT DISTINCT g.row_id, g.release_id, o.track_key FROM got g SEMI JOIN ok USING (row_id) JOIN o ON o.release_id = g.release_id AND o.ordinal BETWEEN g.lo AND g.hi)"""
+
 SQL = {
+    "STR6_role_class": _role_sql(),
+    "STR7_track_field": f"WITH {_PARTS} SELECT kind, first, last, count(*) AS n FROM spec GROUP BY 1, 2, 3",
+    "JN10_positions": _RESOLVED + " SELECT row_id, release_id, track_key FROM res",
+    "GRF2_unified_credits": _RESOLVED + """,
+every AS (
+  SELECT 'rta' AS source, 'track' AS scope, artist_id, coalesce(nullif(trim(track_id), ''), 'S' || release_id::varchar || '_' || coalesce(track_sequence, '?')) AS track_key FROM raw_rta
+  UNION ALL SELECT CASE WHEN extra = 0 THEN 'ra_main' ELSE 'ra_umbrella' END, CASE WHEN extra = 0 THEN 'main' ELSE 'umbrella' END, artist_id, NULL FROM raw_ra WHERE tracks IS NULL OR trim(tracks) = ''
+  UNION ALL SELECT 'ra_tracks', 'track', artist_id, res.track_key FROM raw_ra JOIN res USING (row_id) WHERE trim(tracks) <> ''
+  UNION ALL SELECT 'ra_tracks_unresolved', 'umbrella', artist_id, NULL FROM raw_ra WHERE trim(tracks) <> '' AND row_id NOT IN (SELECT row_id FROM res))
+SELECT source, scope, count(*) AS n, count(DISTINCT artist_id) AS n_artists, count(track_key) AS n_keys FROM every GROUP BY 1, 2""",
     "STR1_clean_name": "SELECT artist_id, trim(regexp_replace(name, '\\s*\\(\\d+\\)\\s*$', '')) AS clean FROM validation_sample",
     "STR2_norm": "SELECT artist_id, coalesce(regexp_replace(lower(strip_accents(realname)), '[^a-z0-9]+', '', 'g'), '') AS key FROM validation_sample",
     "STR3_first_token": f"SELECT artist_id, {_FN.format('name_clean')} AS fn FROM validation_sample",

@@ -161,6 +161,50 @@ def AGG27_esp_histogram(spark, base):
     return _r(x.groupBy(F.least("esp", F.lit(26)).alias("esp")).agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("explained")))
 
 
+def GRF18_summary(spark, base):
+    x = GRF17_shared_partners(spark, base)
+    return _r(x.agg(F.count(F.lit(1)).alias("n_edges"), F.avg("esp").alias("esp_mean"), F.count_if(F.col("esp") == 0).alias("n_zero"), F.count_if((F.col("esp") > 0) & (F.col("esp") == F.col("esp_explained"))).alias("n_explained"), F.try_divide(F.sum("esp_explained"), F.sum("esp")).alias("explained_share")))
+
+
+def AGG28_ceiling(spark, base):
+    x = GRF17_shared_partners(spark, base)
+    return _r(x.groupBy("beyond").agg(F.count(F.lit(1)).alias("n"), F.avg("esp").alias("esp_mean"), F.median("n_shared").alias("shared_median"), F.max("largest_cast").alias("largest_cast")))
+
+
+def AGG14_degree_by_gender(spark, base):
+    d = homophily.degrees(dated(spark, base)).join(nodes(spark, base), F.col("node") == F.col("artist_id"))
+    return _r(d.groupBy("genre", "gender").agg(F.count(F.lit(1)).alias("n"), F.median("degree").alias("degree_median"), F.avg("degree").alias("degree_mean")))
+
+
+def AGG15_year_totals(spark, base):
+    c = GRF23_cells(spark, base)
+    return c.groupBy("year").agg(F.sum("ff").alias("ff"), F.sum("mm").alias("mm"), F.sum("mf").alias("mf"), F.count_if("reliable").alias("n_reliable"))
+
+
+def FIL10_induced(spark, base):
+    """Edges of weight 1 or more among the artists of one genre."""
+    n = nodes(spark, base).where("genre = 'STANDARD'").select(F.col("artist_id").alias("u"))
+    e = GRF1_projection(spark, base).where("w >= 1")
+    return e.join(n, "u", "left_semi").join(n.withColumnRenamed("u", "v"), "v", "left_semi").select("u", "v", "w")
+
+
+def NUL13_cell_expectations(spark, base):
+    """Edges within each gender of a genre and year against permutation within degree strata."""
+    g = known(spark, base)
+    e = homophily.edge_classes(dated(spark, base), g, "genre").where("ci = cj").withColumnRenamed("ci", "genre").select("u", "v", "year", "genre")
+    return _r(homophily.stratified_permutation(e, g, "gender", ["F", "M"], ["year", "genre"]), 6)
+
+
+def NUL20_without_marked(spark, base):
+    """r with and without the artists of very many releases, as for names that are no persons."""
+    n = cut(nodes(spark, base))
+    e = cut(dated(spark, base))
+    marked = n.where("n_release % 7 = 0").select("artist_id")
+    a = homophily.assortativity(homophily.mixing(homophily.edge_classes(e, n, "gender"))).withColumn("nodes", F.lit("all"))
+    b = homophily.assortativity(homophily.mixing(homophily.edge_classes(e, n.join(marked, "artist_id", "left_anti"), "gender"))).withColumn("nodes", F.lit("unmarked"))
+    return _r(a.unionByName(b))
+
+
 def GRF7_components(spark, base):
     e = dated(spark, base).where(F.col("year") == YEARS[1] - 1)
     return graph.connected_components(e)
@@ -326,7 +370,7 @@ def NUL18_sensitivity(spark, base):
     return _r(out)
 
 
-QUERIES = {k: f for k, f in globals().items() if callable(f) and k.split("_")[0].rstrip("0123456789") in {"GRF", "AGG", "NUL", "MTH", "REG"}}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and k.split("_")[0].rstrip("0123456789") in {"GRF", "AGG", "NUL", "MTH", "REG", "FIL"}}
 
 _BASE = """WITH RECURSIVE credits AS (
   SELECT l_partkey AS artist_id, l_orderkey AS release_id, CASE WHEN l_returnflag = 'A' THEN l_orderkey::varchar || '_' || l_linenumber::varchar END AS track_key,
@@ -483,3 +527,14 @@ pr AS (SELECT (a.g = 'F' AND b.g = 'F')::int AS same_f, (a.g = 'M' AND b.g = 'M'
 ed AS (SELECT (a.g = 'F' AND b.g = 'F')::int AS same_f, (a.g = 'M' AND b.g = 'M')::int AS same_m, (a.m = b.m)::int AS same_genre, (a.c = b.c)::int AS same_cohort, a.k * b.k AS product, count(*) AS n_edges FROM dated JOIN n a ON u = a.artist_id JOIN n b ON v = b.artist_id GROUP BY ALL)
 SELECT pr.*, coalesce(n_edges, 0) AS n_edges FROM pr LEFT JOIN ed USING (same_f, same_m, same_genre, same_cohort, product) WHERE n_pairs > 0""",
 }
+
+_E17 = SQL["GRF17_shared_partners"]
+SQL |= {
+    "AGG27_esp_histogram": f"SELECT least(esp, 26)::bigint AS esp, count(*) AS n, round(avg(coalesce(esp_explained / nullif(esp, 0), 0)), 8) AS explained FROM ({_E17}) GROUP BY 1",
+    "GRF18_summary": f"SELECT count(*) AS n_edges, round(avg(esp), 8) AS esp_mean, count(*) FILTER (WHERE esp = 0) AS n_zero, count(*) FILTER (WHERE esp > 0 AND esp = esp_explained) AS n_explained, round(sum(esp_explained) / nullif(sum(esp), 0), 8) AS explained_share FROM ({_E17})",
+    "AGG28_ceiling": f"SELECT beyond, count(*) AS n, round(avg(esp), 8) AS esp_mean, median(n_shared) AS shared_median, max(largest_cast) AS largest_cast FROM ({_E17}) GROUP BY 1",
+    "AGG14_degree_by_gender": _DATED + ", d AS (SELECT node, count(*) AS d FROM (SELECT u AS node FROM dated UNION ALL SELECT v FROM dated) GROUP BY 1) SELECT genre, gender, count(*) AS n, median(d) AS degree_median, round(avg(d), 8) AS degree_mean FROM d JOIN nodes ON node = artist_id GROUP BY 1, 2",
+    "AGG15_year_totals": f"SELECT year, sum(ff)::bigint AS ff, sum(mm)::bigint AS mm, sum(mf)::bigint AS mf, count(*) FILTER (WHERE reliable) AS n_reliable FROM ({SQL['GRF23_cells']}) GROUP BY 1",
+    "FIL10_induced": _EDGES + " SELECT u, v, w FROM edges WHERE w >= 1 AND u IN (SELECT artist_id FROM nodes WHERE genre = 'STANDARD') AND v IN (SELECT artist_id FROM nodes WHERE genre = 'STANDARD')",
+    "NUL20_without_marked": _DATED + ", plain AS (SELECT * FROM nodes WHERE n_release % 7 <> 0)" + _mixing("dated", "gender", prefix="a") + _mixing("dated", "gender", nodes="plain", prefix="b") + " SELECT *, 'all' AS nodes FROM afig UNION ALL SELECT *, 'unmarked' FROM bfig",
+}
