@@ -65,6 +65,8 @@ def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         now = new.select("a", "c")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"coreness still changes after {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("c").alias("coreness"))
 
 

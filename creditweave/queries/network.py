@@ -44,10 +44,15 @@ def dated(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _small(spark: SparkSession, base: str) -> DataFrame:
-    """Dated edges of the first year, the graph of the iterative measures."""
+    """Dated edges of the first year, the graph that the SQL of GRF14 and GRF17 is written for; the ``_whole`` queries take all edges."""
     return dated(spark, base).where(F.col("year") == YEARS[0]).select("u", "v", F.col("n_shared").cast("double").alias("w"))
 
 
+def _giant(spark: SparkSession, base: str) -> DataFrame:
+    """Largest component of the projection over all years, the graph of the centralities."""
+    return cut(graph.giant_component(cut(GRF1_projection(spark, base))))
+
+
 def _r(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -150,27 +155,59 @@ def GRF14_clustering(spark, base):
     return _r(graph.clustering(_small(spark, base)), 7)
 
 
+def GRF14_clustering_whole(spark, base):
+    return _r(graph.clustering(_giant(spark, base)), 7)
+
+
 def GRF17_shared_partners(spark, base):
     inc = credits(spark, base).select(F.col("artist_id").alias("a"), F.col("release_id").alias("r")).distinct()
     inc = inc.join(releases(spark, base).where(F.col("year") == YEARS[0]).select(F.col("release_id").alias("r")), "r", "left_semi")
     return graph.explained_partners(_small(spark, base), project.in_band(inc.withColumnRenamed("a", "artist_id"), "r", 2, 8).withColumnRenamed("artist_id", "a"))
 
 
-def AGG27_esp_histogram(spark, base):
-    x = GRF17_shared_partners(spark, base).withColumn("share", F.coalesce(F.try_divide("esp_explained", "esp"), F.lit(0.0)))
+def GRF17_shared_partners_whole(spark, base):
+    """Shared partners of all edges of the projection, explained by the releases of all years."""
+    inc = project.in_band(credits(spark, base).select("artist_id", "release_id").distinct(), "release_id", 2, 8)
+    return graph.explained_partners(cut(GRF1_projection(spark, base)), inc.select(F.col("artist_id").alias("a"), F.col("release_id").alias("r")))
+
+
+def _esp_histogram(x: DataFrame) -> DataFrame:
+    x = x.withColumn("share", F.coalesce(F.try_divide("esp_explained", "esp"), F.lit(0.0)))
     return _r(x.groupBy(F.least("esp", F.lit(26)).alias("esp")).agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("explained")))
 
 
-def GRF18_summary(spark, base):
-    x = GRF17_shared_partners(spark, base)
+def AGG27_esp_histogram(spark, base):
+    return _esp_histogram(GRF17_shared_partners(spark, base))
+
+
+def AGG27_esp_histogram_whole(spark, base):
+    return _esp_histogram(GRF17_shared_partners_whole(spark, base))
+
+
+def _esp_summary(x: DataFrame) -> DataFrame:
     return _r(x.agg(F.count(F.lit(1)).alias("n_edges"), F.avg("esp").alias("esp_mean"), F.count_if(F.col("esp") == 0).alias("n_zero"), F.count_if((F.col("esp") > 0) & (F.col("esp") == F.col("esp_explained"))).alias("n_explained"), F.try_divide(F.sum("esp_explained"), F.sum("esp")).alias("explained_share")))
 
 
-def AGG28_ceiling(spark, base):
-    x = GRF17_shared_partners(spark, base)
+def GRF18_summary(spark, base):
+    return _esp_summary(GRF17_shared_partners(spark, base))
+
+
+def GRF18_summary_whole(spark, base):
+    return _esp_summary(GRF17_shared_partners_whole(spark, base))
+
+
+def _ceiling(x: DataFrame) -> DataFrame:
     return _r(x.groupBy("beyond").agg(F.count(F.lit(1)).alias("n"), F.avg("esp").alias("esp_mean"), F.median("n_shared").alias("shared_median"), F.max("largest_cast").alias("largest_cast")))
 
 
+def AGG28_ceiling(spark, base):
+    return _ceiling(GRF17_shared_partners(spark, base))
+
+
+def AGG28_ceiling_whole(spark, base):
+    return _ceiling(GRF17_shared_partners_whole(spark, base))
+
+
 def AGG14_degree_by_gender(spark, base):
     d = homophily.degrees(dated(spark, base)).join(nodes(spark, base), F.col("node") == F.col("artist_id"))
     return _r(d.groupBy("genre", "gender").agg(F.count(F.lit(1)).alias("n"), F.median("degree").alias("degree_median"), F.avg("degree").alias("degree_mean")))
@@ -211,19 +248,19 @@ def GRF7_components(spark, base):
 
 
 def GRF8_coreness(spark, base):
-    return graph.core_numbers(_small(spark, base))
+    return graph.core_numbers(_giant(spark, base))
 
 
 def GRF12_pagerank(spark, base):
-    return graph.pagerank(_small(spark, base), rounds=20)
+    return graph.pagerank(_giant(spark, base), rounds=20)
 
 
 def GRF11_eigenvector(spark, base):
-    return graph.eigenvector(_small(spark, base), rounds=40)
+    return graph.eigenvector(_giant(spark, base), rounds=40)
 
 
 def GRF13_non_backtracking(spark, base):
-    return graph.non_backtracking(_small(spark, base), rounds=40)
+    return graph.non_backtracking(_giant(spark, base), rounds=40)
 
 
 def GRF16_localisation(spark, base):
@@ -233,11 +270,11 @@ def GRF16_localisation(spark, base):
 
 
 def GRF10_betweenness(spark, base):
-    return graph.betweenness(_small(spark, base), sources=200)
+    return graph.betweenness(_giant(spark, base), sources=200)
 
 
 def GRF20_snowball(spark, base):
-    return graph.snowball(_small(spark, base), [1], 200)
+    return graph.snowball(_giant(spark, base), [1], 200)
 
 
 def AGG13_descriptives(spark, base):
