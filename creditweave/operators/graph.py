@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -243,8 +243,7 @@ def NUL20_without_marked(spark, base):
 
 
 def GRF7_components(spark, base):
-    e = dated(spark, base).where(F.col("year") == YEARS[1] - 1)
-    return graph.connected_components(e)
+    return graph.connected_components(GRF1_projection(spark, base))
 
 
 def GRF8_coreness(spark, base):

@@ -48,3 +48,7 @@ def test_shared_partners_take_releases_of_all_years(spark, base):
     assert q.GRF18_summary_whole(spark, base).first()["n_edges"] == len(ALL)
     assert sum(r["n"] for r in q.AGG27_esp_histogram_whole(spark, base).collect()) == len(ALL)
     assert sum(r["n"] for r in q.AGG28_ceiling_whole(spark, base).collect()) == len(ALL)
+
+
+def test_components_take_edges_of_all_years(spark, base):
+    assert {r["node"]: r["component"] for r in q.GRF7_components(spark, base).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6}
