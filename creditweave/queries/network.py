@@ -6,6 +6,8 @@ A part is an artist, an order a release, a line a credit whose return flag gives
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -363,29 +365,33 @@ def NUL8_permuted(spark, base):
     return out
 
 
+def _incidence(spark: SparkSession, base: str) -> DataFrame:
+    """Artists and releases with the year of the release."""
+    inc = credits(spark, base).select("artist_id", "release_id").distinct().join(releases(spark, base), "release_id", "left")
+    return inc.select(F.col("artist_id").alias("a"), F.col("release_id").alias("r"), F.col("year").alias("period"))
+
+
+def _swap_figures(a, r, s) -> pd.DataFrame:
+    old, new = set(zip(a.tolist(), r.tolist())), set(zip(a.tolist(), s.tolist()))
+    same_degrees = bool(np.array_equal(np.sort(r), np.sort(s)))
+    return pd.DataFrame({"n": [len(a)], "n_a": [len(np.unique(a))], "n_r": [len(np.unique(s))], "n_distinct": [len(new)], "unchanged": [len(old & new)], "same_degrees": [same_degrees]})
+
+
 def NUL14_swaps(spark, base):
-    """Degrees of both sides of the bipartite graph of a year, before and after swaps."""
-    inc = credits(spark, base).select(F.col("artist_id").alias("a"), F.col("release_id").alias("r")).distinct()
-    inc = inc.join(releases(spark, base).where(F.col("year") == YEARS[0]).select(F.col("release_id").alias("r")), "r", "left_semi")
-    s = cut(resample.swapped_projections(inc, 4, rounds=2))
-    same = s.join(inc, ["a", "r"], "left_semi").groupBy("replica").agg(F.count(F.lit(1)).alias("unchanged"))
-    return s.groupBy("replica").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("r").alias("n_r"), F.count_distinct("a", "r").alias("n_distinct")).join(same, "replica", "left")
+    """Size and degrees of the bipartite graph of each year and of all years (null), observed (replica -1) and after swaps."""
+    return resample.over_swaps(_incidence(spark, base), _swap_figures, "n long, n_a long, n_r long, n_distinct long, unchanged long, same_degrees boolean")
+
+
+def _reprojected(a, r, s) -> pd.DataFrame:
+    n = resample.esp_histogram(a, s)
+    at = np.flatnonzero(n)
+    return pd.DataFrame({"esp": at, "n": n[at]})
 
 
 def NUL15_reprojection(spark, base):
-    """Shared-partner histogram of the observed and of swapped bipartite graphs."""
-    inc = credits(spark, base).select(F.col("artist_id").alias("a"), F.col("release_id").alias("r")).distinct()
-    inc = inc.join(releases(spark, base).where(F.col("year") == YEARS[0]).select(F.col("release_id").alias("r")), "r", "left_semi")
-    inc = cut(project.in_band(inc.withColumnRenamed("a", "artist_id"), "r", 2, 8).withColumnRenamed("artist_id", "a").select("a", "r"))
-    s = cut(resample.swapped_projections(inc, 3, rounds=2))
-    out = None
-    for b in range(-1, 3):
-        x = inc if b < 0 else s.where(F.col("replica") == b)
-        p, q = x.select(F.col("a").alias("u"), "r"), x.select(F.col("a").alias("v"), "r")
-        e = p.join(q, "r").where("u < v").select("u", "v").distinct()
-        one = graph.shared_partners(e).groupBy(F.lit(b).alias("replica"), F.least("esp", F.lit(26)).alias("esp")).agg(F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Shared-partner histogram of each year and of all years (null), observed (replica -1) and of swapped bipartite graphs."""
+    inc = project.in_band(_incidence(spark, base), "r", 2, 8, member="a")
+    return resample.over_swaps(inc, _reprojected, "esp long, n long")
 
 
 def NUL17_imputation(spark, base):

@@ -1,7 +1,9 @@
 import datetime
 
+import numpy as np
 import pytest
 
+from creditweave.operators import resample
 from creditweave.queries import network as q
 
 CASTS = {1: (1995, [1, 2, 3]), 2: (1996, [3, 4]), 3: (1997, [4, 5]), 4: (1998, [1, 5]), 5: (1999, [6, 7]), 6: (2000, [2, 5]), 7: (2001, [1, 3])}
@@ -52,3 +54,26 @@ def test_shared_partners_take_releases_of_all_years(spark, base):
 
 def test_components_take_edges_of_all_years(spark, base):
     assert {r["node"]: r["component"] for r in q.GRF7_components(spark, base).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6}
+
+
+def test_swaps_of_each_year_and_of_all(spark, base):
+    years = {y for y, _ in CASTS.values()}
+    jobs = {(None, b) for b in range(-1, 20)} | {(y, b) for y in years for b in range(-1, 100)}
+    got = {(r["period"], r["replica"]): r for r in q.NUL14_swaps(spark, base).collect()}
+    assert set(got) == jobs
+    assert all(r["n"] == r["n_distinct"] == (15 if p is None else 3 if p == 1995 else 2) and r["same_degrees"] for (p, _), r in got.items())
+    assert all(r["unchanged"] == r["n"] for (_, b), r in got.items() if b < 0) and min(r["unchanged"] for r in got.values() if r["period"] is None) < 15
+    near, hist = _near(ALL), {}
+    for r in q.NUL15_reprojection(spark, base).collect():
+        hist.setdefault((r["period"], r["replica"]), {})[r["esp"]] = r["n"]
+    esp = [len(near[u] & near[v]) for u, v in ALL]
+    assert set(hist) == jobs and hist[None, -1] == {k: esp.count(k) for k in set(esp)}
+
+
+def test_histogram_of_a_projection():
+    rng = np.random.default_rng(8)
+    pairs = np.array(sorted({(int(a), r) for r in range(60) for a in rng.integers(0, 40, int(rng.integers(1, 8)))}))
+    edges = {(u, v) for r in range(60) for u in pairs[pairs[:, 1] == r, 0] for v in pairs[pairs[:, 1] == r, 0] if u < v}
+    near = _near(edges)
+    want = np.bincount([min(6, len(near[u] & near[v])) for u, v in edges], minlength=7)
+    assert np.array_equal(resample.esp_histogram(pairs[:, 0], pairs[:, 1], 6, 50), want)
