@@ -75,7 +75,7 @@ def core_numbers(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
 def pagerank(edges: DataFrame, weight: str | None = "w", damping: float = 0.85, rounds: int = 30, tolerance: float = 0.0) -> DataFrame:
     """``node, pagerank`` of the undirected weighted graph after ``rounds`` steps, or fewer once the L1 change is below n x tolerance.
 
-    The out-weights are joined once; a step is one join and one aggregate with a checkpoint every fifth.
+    With a tolerance, ``rounds`` is a bound that raises if it is reached before.  The out-weights are joined once; a step is one join and one aggregate with a checkpoint every fifth.
     """
     sym = symmetric(edges, weight)
     out = sym.groupBy("a").agg(F.sum("w").alias("ow"))
@@ -92,43 +92,68 @@ def pagerank(edges: DataFrame, weight: str | None = "w", damping: float = 0.85,
             rank = new
             break
         rank = new
+    else:
+        if tolerance and n:
+            raise RuntimeError(f"pagerank still changes by more than n x {tolerance} after {rounds} rounds")
     return rank.select("node", F.col("x").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, weight: str | None = "w", rounds: int = 60) -> DataFrame:
-    """``node, eigenvector``: leading eigenvector of A + I by power iteration, of length 1."""
+def _unit(df: DataFrame, *columns: str) -> float:
+    return df.agg(F.sqrt(F.sum(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))))).first()[0] or 1.0
+
+
+def _moved(df: DataFrame, size: float, before: float, *columns: str) -> float:
+    """Length of the change of a vector of length 1 from ``c0`` to ``c`` of each column."""
+    parts = [F.pow(F.col(c) / size - F.col(f"{c}0") / before, F.lit(2)) for c in columns]
+    return df.agg(F.sqrt(F.sum(sum(parts, F.lit(0.0))))).first()[0] or 0.0
+
+
+def eigenvector(edges: DataFrame, weight: str | None = "w", rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
+    """``node, eigenvector``: leading eigenvector of A + I by power iteration, of length 1.
+
+    It ends once a step changes the vector by less than ``tolerance``, seen every fifth step, and raises after ``rounds`` steps.
+    """
     links = cut(symmetric(edges, weight))
     x = links.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    for i in range(rounds):
+    for i in range(1, rounds + 1):
         near = links.join(x.select(F.col("node").alias("b"), F.col("x").alias("y")), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("y")).alias("y"))
-        new = x.join(near, x.node == near.a).select("node", (F.col("x") + F.col("y")).alias("x"))
-        if i % 5 == 4:
+        new = x.join(near, x.node == near.a).select("node", (F.col("x") + F.col("y")).alias("x"), F.col("x").alias("x0"))
+        if i % 5 == 0 or i == rounds:
             new = cut(new)
-            size = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+            size = _unit(new, "x")
+            moved = _moved(new, size, _unit(new, "x0"), "x")
             new = new.select("node", (F.col("x") / size).alias("x"))
-        x = new
-    x = cut(x)
-    size = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-    return x.select("node", (F.col("x") / size).alias("eigenvector"))
+            if moved < tolerance:
+                return new.select("node", F.col("x").alias("eigenvector"))
+        x = new.select("node", "x")
+    raise RuntimeError(f"the eigenvector still changes by more than {tolerance} after {rounds} rounds")
 
 
-def non_backtracking(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def non_backtracking(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-10) -> DataFrame:
     """``node, nonbacktracking``: first half of the leading eigenvector of [[A, I - D], [I, 0]], clipped at 0, of length 1.
 
     Two vectors are iterated: x' = A x + (I - D) y and y' = x, with a shift of 1 against oscillation.
+    It ends once a step changes them by less than ``tolerance``, seen every fifth step, and raises after ``rounds`` steps.
     """
     links = cut(symmetric(edges).select("a", "b"))
     deg = links.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    s = cut(deg.select(F.col("a").alias("node"), "d", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))
-    for i in range(rounds):
+    # not x = y = 1, which is itself an eigenvector, of eigenvalue 1
+    s = cut(deg.select(F.col("a").alias("node"), "d", F.lit(1.0).alias("x"), F.lit(0.0).alias("y")))
+    for i in range(1, rounds + 1):
         near = links.join(s.select(F.col("node").alias("b"), F.col("x").alias("z")), "b").groupBy("a").agg(F.sum("z").alias("ax"))
-        s = s.join(near, s.node == near.a).select("node", "d", (F.col("ax") + (1 - F.col("d")) * F.col("y") + F.col("x")).alias("x"), (F.col("x") + F.col("y")).alias("y"))
-        if i % 5 == 4 or i == rounds - 1:
-            s = cut(s)
-            size = s.agg(F.sqrt(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")))).first()[0] or 1.0
-            s = s.select("node", "d", (F.col("x") / size).alias("x"), (F.col("y") / size).alias("y"))
-    s = s.withColumn("x", F.greatest("x", F.lit(0.0)))
-    size = s.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        new = s.join(near, s.node == near.a).select("node", "d", (F.col("ax") + (1 - F.col("d")) * F.col("y") + F.col("x")).alias("x"), (F.col("x") + F.col("y")).alias("y"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+        if i % 5 == 0 or i == rounds:
+            new = cut(new)
+            size = _unit(new, "x", "y")
+            moved = _moved(new, size, _unit(new, "x0", "y0"), "x", "y")
+            new = new.select("node", "d", (F.col("x") / size).alias("x"), (F.col("y") / size).alias("y"))
+            if moved < tolerance:
+                break
+        s = new.select("node", "d", "x", "y")
+    else:
+        raise RuntimeError(f"the non-backtracking vector still changes by more than {tolerance} after {rounds} rounds")
+    s = new.withColumn("x", F.greatest("x", F.lit(0.0)))
+    size = _unit(s, "x")
     return s.select("node", (F.col("x") / size).alias("nonbacktracking"))
 
 

@@ -253,15 +253,15 @@ def GRF8_coreness(spark, base):
 
 
 def GRF12_pagerank(spark, base):
-    return graph.pagerank(_giant(spark, base), rounds=20)
+    return graph.pagerank(_giant(spark, base), rounds=1000, tolerance=1e-10)
 
 
 def GRF11_eigenvector(spark, base):
-    return graph.eigenvector(_giant(spark, base), rounds=40)
+    return graph.eigenvector(_giant(spark, base))
 
 
 def GRF13_non_backtracking(spark, base):
-    return graph.non_backtracking(_giant(spark, base), rounds=40)
+    return graph.non_backtracking(_giant(spark, base))
 
 
 def GRF16_localisation(spark, base):

@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 import pytest
 
-from creditweave.operators import resample
+from creditweave.operators import graph, resample
 from creditweave.queries import network as q
 
 CASTS = {1: (1995, [1, 2, 3]), 2: (1996, [3, 4]), 3: (1997, [4, 5]), 4: (1998, [1, 5]), 5: (1999, [6, 7]), 6: (2000, [2, 5]), 7: (2001, [1, 3])}
@@ -77,3 +77,30 @@ def test_histogram_of_a_projection():
     near = _near(edges)
     want = np.bincount([min(6, len(near[u] & near[v])) for u, v in edges], minlength=7)
     assert np.array_equal(resample.esp_histogram(pairs[:, 0], pairs[:, 1], 6, 50), want)
+
+
+def _slow_graph():
+    """Two cliques of 5 and 4 joined by a path: rank and eigenvector mix slowly."""
+    one = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    two = [(i, j) for i in range(9, 13) for j in range(i + 1, 13)]
+    return one + two + [(i, i + 1) for i in range(4, 9)]
+
+
+def test_iterations_end_when_they_converge(spark):
+    edges = _slow_graph()
+    df = spark.createDataFrame([(u, v, 1.0) for u, v in edges], "u long, v long, w double")
+    a = np.zeros((13, 13))
+    for u, v in edges:
+        a[u, v] = a[v, u] = 1
+    n, d = 13, a.sum(1)
+    lead = lambda m: (lambda val, vec: vec[:, np.argmax(val.real)].real)(*np.linalg.eig(m))
+    unit = lambda x: np.abs(x) / np.linalg.norm(x)
+    nb = lead(np.block([[a, np.eye(n) - np.diag(d)], [np.eye(n), np.zeros((n, n))]]))[:n]
+    nb = np.clip(nb * np.sign(nb.sum()), 0, None)
+    pr = np.linalg.solve(np.eye(n) - 0.85 * a / d, np.full(n, 0.15 / n))
+    for f, name, want in ((graph.eigenvector, "eigenvector", unit(lead(a))), (graph.non_backtracking, "nonbacktracking", nb / np.linalg.norm(nb)), (lambda e: graph.pagerank(e, rounds=1000, tolerance=1e-10), "pagerank", pr)):
+        got = {r["node"]: r[name] for r in f(df).collect()}
+        assert np.allclose([got[i] for i in range(n)], want, atol=1e-7), name
+    for f in (lambda: graph.eigenvector(df, rounds=4), lambda: graph.non_backtracking(df, rounds=4), lambda: graph.pagerank(df, rounds=4, tolerance=1e-10)):
+        with pytest.raises(RuntimeError, match="after 4 rounds"):
+            f()
