@@ -222,10 +222,10 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 5, mos
     e = edges.select("u", "v").where("u <> v").distinct()
     if (m := e.count()) > most_edges:
         raise ValueError(f"{m} edges exceed most_edges={most_edges}")
-    pdf = e.toPandas()  # bounded by most_edges
-    ids, code = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
+    table = e.toArrow()  # bounded by most_edges; as Arrow, since rows of Python objects take many times the driver's memory
+    ids, code = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
     n = len(ids)
-    a, b = code[: len(pdf)], code[len(pdf) :]
+    a, b = code[:m], code[m:]
     src, dst = np.concatenate([a, b]).astype(np.int32), np.concatenate([b, a]).astype(np.int32)
     order = np.argsort(src, kind="stable")
     start = np.searchsorted(src[order], np.arange(n + 1))

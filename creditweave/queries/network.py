@@ -271,11 +271,14 @@ def GRF16_localisation(spark, base):
 
 
 def GRF10_betweenness(spark, base):
-    return graph.betweenness(_giant(spark, base), sources=200)
+    return graph.betweenness(_giant(spark, base), sources=400)
 
 
 def GRF20_snowball(spark, base):
-    return graph.snowball(_giant(spark, base), [1], 200)
+    """Snowball of up to 1500 nodes from the node of largest degree, the smallest id of equal ones."""
+    e = _giant(spark, base)
+    first = graph.symmetric(e).groupBy("a").agg(F.count(F.lit(1)).alias("d")).orderBy(F.desc("d"), "a").limit(1).collect()
+    return graph.snowball(e, [r["a"] for r in first], 1500)
 
 
 def AGG13_descriptives(spark, base):

@@ -104,3 +104,19 @@ def test_iterations_end_when_they_converge(spark):
     for f in (lambda: graph.eigenvector(df, rounds=4), lambda: graph.non_backtracking(df, rounds=4), lambda: graph.pagerank(df, rounds=4, tolerance=1e-10)):
         with pytest.raises(RuntimeError, match="after 4 rounds"):
             f()
+
+
+def test_snowball_starts_inside_the_graph(spark, tmp_path):
+    """Artist 1 has no edge at all, so a snowball from it is empty."""
+    casts = {1: [1], 2: [11, 12], 3: [12, 13], 4: [12, 14]}
+    spark.createDataFrame([(a, r, i + 1, "N") for r, c in casts.items() for i, a in enumerate(c)], "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r["u"], r["v"]) for r in q.GRF20_snowball(spark, str(tmp_path)).collect()} == {(11, 12), (12, 13), (12, 14)}
+
+
+def test_sample_sizes_are_the_reference_s(spark, base, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(graph, "betweenness", lambda e, sources=None, **_: seen.update(sources=sources))
+    monkeypatch.setattr(graph, "snowball", lambda e, start, most: seen.update(start=start, most=most))
+    q.GRF10_betweenness(spark, base)
+    q.GRF20_snowball(spark, base)
+    assert seen == {"sources": 400, "start": [1], "most": 1500}
