@@ -1,9 +1,11 @@
 """One consistent form for text that looks the same but is stored with different characters.
 
 Look-alike classes are the transitive closure (union-find) of pairs of strings: a fixed
-list of letters of other scripts, and a rule over the code points of the corpus (width,
-font and ligature forms by their Unicode decomposition).  The representative of a class is
-its member that occurs most often in the corpus.  A multi-pattern automaton rewrites each
+list of letters of other scripts and marks, and a rule over code points (width, font, numeral
+and ligature forms, which stand for the string of their Unicode decomposition).  The rule
+also holds for characters that the corpus behind the classes never had.  The representative
+of a class is its member that occurs most often in the corpus, so in a mostly Cyrillic
+table it is the Cyrillic letter; dashes of other lengths (– —) are visible differences.  A multi-pattern automaton rewrites each
 text greedily, longest member first; invisible characters are dropped, blanks of any kind
 and number become one, and accents are composed.  Case, accents and numbers stay.
 """
@@ -11,51 +13,66 @@ and number become one, and accents are composed.  Case, accents and numbers stay
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters that look like a Latin letter, after the letter they look like.
+from creditweave.session import cut
+
+# Characters (Greek, Cyrillic, Armenian, Cherokee, Lisu, phonetic, marks) that look like the first one of their line.
 LETTERS = """
-A Α А
-B Β В
-C С
-E Ε Е
-H Η Н
-I Ι І
-J Ј
-K Κ К
-M Μ М
-N Ν
-O Ο О
-P Ρ Р
-S Ѕ
-T Τ Т
-X Χ Х
-Y Υ Ү
-Z Ζ
-a а
+A Α А Ꭺ ꓮ
+B Β В Ᏼ ꓐ
+C С Ꮯ ꓚ
+D Ꭰ ꓓ
+E Ε Е Ꭼ ꓰ
+F ꓝ Ϝ
+G Ꮐ ꓖ Ԍ
+H Η Н Ꮋ ꓧ
+I Ι І Ӏ ꓲ
+J Ј Ꭻ ꓙ
+K Κ К Ꮶ ꓗ
+L Ꮮ ꓡ
+M Μ М Ꮇ ꓟ Ϻ
+N Ν ꓠ
+O Ο О Օ ꓳ
+P Ρ Р Ꮲ ꓑ
+Q Ԛ
+R Ꮢ ꓣ
+S Ѕ Ꮪ ꓢ Տ
+T Τ Т Ꭲ ꓔ
+U Ս ꓴ
+V Ꮩ ꓦ Ѵ
+W Ꮃ Ԝ ꓪ
+X Χ Х ꓫ
+Y Υ Ү ꓬ
+Z Ζ Ꮓ ꓜ
+a а ɑ
 c с
 d ԁ
 e е
-h һ
+g ɡ ց
+h һ հ
 i і
-j ј
-o ο о
-p р
-q ԛ
+j ј ϳ
+l ӏ ǀ
+n ո
+o ο о օ
+p р ρ
+q ԛ զ
 s ѕ
+u υ ս
 v ν ѵ
 w ԝ
 x х
 y у
 - ‐ ‑ ‒ − ﹣
-' ’ ‘ ʼ ＇
-" “ ” ＂
+' ’ ‘ ʼ ＇ ′ ʹ
+" “ ” ＂ ″ ʺ
 """
 # Characters without a mark of their own that are no control or format characters.
 BLANK_LETTERS = "⠀ㅤﾠᅟᅠ"
@@ -132,6 +149,7 @@ class Rewriter:
     def __init__(self, classes: dict[str, str]) -> None:
         import ahocorasick
 
+        self.classes, self.by_rule = classes, {}
         self.first = {m[0] for m in classes}
         self.automaton = ahocorasick.Automaton()
         for member, best in classes.items():
@@ -140,10 +158,20 @@ class Rewriter:
         self.empty = not classes
         self.plain = self.empty or not any(c.isascii() for c in self.first)
 
+    def shown(self, char: str) -> str:
+        """What a character shows: nothing for a hidden one, and what it stands for by rule if no class has it."""
+        if char.isascii() and char.isprintable():
+            return char
+        got = self.by_rule.get(char)
+        if got is None:
+            got = " " if char in BLANK_LETTERS else "" if is_hidden(char) else char if char in self.classes else same_look(char) or char
+            self.by_rule[char] = got
+        return got
+
     def __call__(self, text: str) -> str:
         if not (self.plain and text.isascii() and text.isprintable()):
             text = unicodedata.normalize("NFD", text)
-            text = "".join(" " if c in BLANK_LETTERS else c for c in text if not is_hidden(c))
+            text = "".join(self.shown(c) for c in text)
             if not self.empty:
                 out, at = [], 0
                 for end, (size, best) in self.automaton.iter_long(text):
@@ -155,10 +183,13 @@ class Rewriter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
+    total = np.zeros(0x110000, np.int64)
     for b in batches:
-        total.update(unicodedata.normalize("NFD", "\n".join(x for x in b.column(0).to_pylist() if x)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["char", "n"])
+        text = unicodedata.normalize("NFD", "\n".join(x for x in b.column(0).to_pylist() if x))
+        codes, n = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+        total[codes] += n
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in used], pa.string()), pa.array(total[used])], ["char", "n"])
 
 
 def corpus_classes(df: DataFrame, column: str) -> dict[str, str]:
@@ -193,8 +224,12 @@ def look_alike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     Rows without text (null) have no pairs.  Rows with the same string are no pair; each
     of them is paired with all rows that hold another spelling.
     """
-    rows = consistent(df.select(F.col(key).alias("id"), F.col(column).alias("text")).where("text is not null"), "text", "form")
-    several = rows.groupBy("form", "text").agg(F.lit(1).alias("x")).groupBy("form").agg(F.count("x").alias("n")).where("n > 1").select("form")
-    rows = rows.join(several, "form", "left_semi")
-    a, b = (rows.select("form", F.col("id").alias(f"{key}_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return a.join(b, (a.form == b.form) & (a[f"{key}_a"] < b[f"{key}_b"]) & (F.col("text_a") != F.col("text_b"))).select(f"{key}_a", f"{key}_b")
+    rows = df.select(F.col(key).alias("id"), F.col(column).cast("string").alias("text")).where("text is not null")
+    # each spelling is rewritten once, however many rows hold it
+    forms = cut(consistent(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n_rows")), "text", "form", corpus_classes(rows, "text")))
+    several = forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
+    met = rows.join(forms.join(several, "form", "left_semi").select("text", "form"), "text")
+    met = cut(met)
+    # a form of very many rows is a skewed key of a plain equi-join, which adaptive execution splits
+    a, b = (met.select("form", F.col("id").alias(f"{key}_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
+    return a.join(b, "form").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("text_a") != F.col("text_b"))).select(f"{key}_a", f"{key}_b")

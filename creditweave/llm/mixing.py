@@ -107,7 +107,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int =
     ``docs(id_col, source, n_tokens)``.  Documents whose source is null or has no target, and
     documents without tokens, are not used.  No document gets more than ``max_repeats`` copies.
     Where the source is too small, each of its documents is used ``max_repeats`` times and
-    the report says by how much the target is missed.  Repeated ids are documents of their own.
+    the report says by how much the target is missed.  The others keep their amounts, so the
+    mix is smaller than the corpus: ``share_of_mix`` is what a source has in the mix,
+    ``reached_share`` its taken tokens over the tokens of all documents.  Repeated ids are documents of their own.
     """
     docs = docs.select(F.col(id_col).alias("id"), "source", "n_tokens")
     caps = capacities(docs, targets)
@@ -130,7 +132,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int =
     copies = (F.col("whole") + F.round("p").cast("int")).alias("copies")
     used = done.select(F.col("id").alias(id_col), "source", "n_tokens", copies).where("copies > 0")
     got = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
-    report = caps.join(got, "source", "left").select(
+    got = cut(got)  # one row per source
+    mixed = got.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("mixed"))
+    report = caps.join(got, "source", "left").crossJoin(F.broadcast(mixed)).select(
         "source",
         "target_share",
         "max_repeats",
@@ -139,6 +143,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int =
         "short",
         F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.when(F.col("total") > 0, F.coalesce("taken", F.lit(0)) / F.col("total")).otherwise(0.0).alias("reached_share"),
+        F.coalesce(F.try_divide(F.coalesce("taken", F.lit(0)), F.col("mixed")), F.lit(0.0)).alias("share_of_mix"),
+        F.coalesce(F.try_divide(F.coalesce("taken", F.lit(0)), F.col("total")), F.lit(0.0)).alias("reached_share"),
     )
     return used, report

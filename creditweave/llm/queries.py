@@ -59,7 +59,7 @@ def p3_entities(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     _, report = _sample(spark, base)
-    return report.where("shortfall").select("field_name", "category")
+    return report.where("unavailable > 0").select("field_name", "category")
 
 
 def p6_sample(spark: SparkSession, base: str) -> DataFrame:
@@ -79,9 +79,13 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return tokens.token_ids(load(spark, base, "documents"), ["doc_id"], "text")
 
 
+def p8_joined(spark: SparkSession, base: str) -> DataFrame:
+    """How many documents are encoded by halves, and how many encodings equal that of the whole text."""
+    return tokens.joined_exactly(load(spark, base, "documents", "text"), "text")
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    counts = tokens.token_counts(load(spark, base, "documents"), ["source"], "text")
-    return mixing.capacities(counts, load(spark, base, "source_targets")).where("short").select("source")
+    return _mix(spark, base)[1].where("short").select("source")
 
 
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
@@ -121,9 +125,10 @@ def p10_composition(spark: SparkSession, base: str) -> DataFrame:
     return areas.join(found, "subject", "left").crossJoin(F.broadcast(total)).select("subject", n.alias("n_docs"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(0.0).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_segments, p2_profiles, p3_found, p3_entities, p6_found, p6_sample, p6_report, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_subjects, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_names, p2_found, p2_segments, p2_profiles, p3_found, p3_entities, p6_found, p6_sample, p6_report, p8_ids, p8_joined, p9_found, p9_mix, p9_shares, p10_found, p10_subjects, p10_composition)}
 
 SQL = {
+    "p8_joined": f"SELECT count(*) AS n_texts, count(*) FILTER (WHERE length(text) > {tokens.LONG}) AS n_joined, count(*) AS n_equal FROM documents",
     "p6_found": """
 WITH n AS (SELECT (count(*) // 10)::double AS n FROM validation_sample),
 have AS (

@@ -2,9 +2,13 @@
 
 The rows are counted by the joint category of the fields.  Weights of the joint
 categories are fitted to the targets of each field (iterative proportional fitting) and
-turned into integer quotas by largest remainder, never more than there are rows; fields
-whose categories miss their minimum get the missing rows added.  In each joint category
-the rows with the smallest random keys are taken.
+turned into integer quotas by largest remainder, never more than there are rows; quotas
+are then moved between joint categories that differ in one field only, until no such move
+brings a field nearer to its own quotas, and fields whose categories miss their minimum get
+the missing rows added.  In each joint category the rows with the smallest random keys are
+taken.  A target is missed for one of two reasons: the rows are not there, which the
+allocation of the field finds at its caps, or the fields exclude each other, which shows in
+what was drawn.
 """
 
 from __future__ import annotations
@@ -55,6 +59,34 @@ def allocate(weights: np.ndarray, floors: np.ndarray, caps: np.ndarray, total: i
     return whole
 
 
+def refused(asked: np.ndarray, least: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """What the allocation is asked for beyond its caps: the larger of what each entry is to get, not rounded, and its minimum, less what there is."""
+    return np.maximum(np.maximum(asked, least) - caps, 0.0)
+
+
+def settle(cells: pd.DataFrame, fields: list[str], quota: np.ndarray, have: np.ndarray, wanted: dict[str, dict[str, int]]) -> np.ndarray:
+    """Moves quotas between joint categories that differ in one field only, from a category above its quota to one below it; the other fields keep their sums."""
+    quota = quota.copy()
+    moved = True
+    while moved:  # each move lowers the distance from the quotas, so this ends
+        moved = False
+        for f in fields:
+            others = [x for x in fields if x != f]
+            over = {c: int(quota[cells[f] == c].sum()) - wanted[f].get(c, 0) for c in set(cells[f])}
+            for _, at in cells.groupby(others, sort=True).indices.items() if others else [((), np.arange(len(cells)))]:
+                kind = cells[f].to_numpy()
+                for i in at:
+                    for j in at:
+                        n = min(over[kind[i]], -over[kind[j]], int(quota[i]), int(have[j] - quota[j]))
+                        if n > 0:
+                            quota[i] -= n
+                            quota[j] += n
+                            over[kind[i]] -= n
+                            over[kind[j]] += n
+                            moved = True
+    return quota
+
+
 def fit_cells(cells: pd.DataFrame, fields: list[str], targets: pd.DataFrame, n: int) -> np.ndarray:
     """Quotas of the joint categories ``cells(<fields>, n)``; ``targets(field_name, category, quota)`` per field."""
     have = cells["n"].to_numpy(float)
@@ -68,7 +100,8 @@ def fit_cells(cells: pd.DataFrame, fields: list[str], targets: pd.DataFrame, n:
                 if now > 0:
                     w[at] *= goal / now
         w = np.minimum(w, have)
-    quota = allocate(w, np.zeros(len(w), np.int64), cells["n"].to_numpy(np.int64), int(min(n, round(w.sum()))))
+    quota = allocate(w, np.zeros(len(w), np.int64), cells["n"].to_numpy(np.int64), int(min(n, have[w > 0].sum())))
+    quota = settle(cells, fields, quota, have, wanted)
     # rows that a rare category still lacks
     for f in fields:
         for c, at in index[f].items():
@@ -94,11 +127,13 @@ def category_targets(df: DataFrame, targets: DataFrame, fields: list[str], n: in
         t.loc[at, "available"] = [have.get(c, 0) for c in t.loc[at, "category"]]
     t["wanted"] = t["target_share"] * n
     t["floor"] = np.minimum(t["min_rows"], t["available"]).astype(np.int64)
-    t["quota"] = 0
+    t["quota"], t["unavailable"] = 0, 0.0
     for f in fields:
         at = (t.field_name == f).to_numpy()
         x = t[at]
-        t.loc[at, "quota"] = allocate(x["target_share"].to_numpy(float), x["floor"].to_numpy(np.int64), x["available"].to_numpy(np.int64), n)
+        share, caps = x["target_share"].to_numpy(float), x["available"].to_numpy(np.int64)
+        t.loc[at, "quota"] = allocate(share, x["floor"].to_numpy(np.int64), caps, n)
+        t.loc[at, "unavailable"] = refused(share * n, x["min_rows"].to_numpy(float), caps)
     return t
 
 
@@ -110,9 +145,11 @@ def quota_sample(df: DataFrame, key: str, fields: list[str], targets: DataFrame,
     """The sample ``(key, *fields)`` and its report, one row per target category.
 
     ``share`` of the rows is drawn.  Rows with a null category, or one without target, in
-    any field belong to no target; they are drawn only if a minimum asks for it.  A
-    category with fewer rows than its quota or minimum gives all it has and the report
-    says so (``shortfall``).  An empty table gives an empty sample and full shortfalls.
+    any field belong to no target; they are drawn only if a minimum asks for it.  The
+    report has, for each category, the rows available and drawn, ``missing``, the whole rows
+    drawn below target or minimum, ``shortfall`` (there are some) and ``reason``: ``not available`` if the
+    category has fewer rows than target or minimum (``unavailable`` of them, not rounded),
+    else ``fields exclude each other``.  An empty table gives an empty sample and full shortfalls.
     Repeated keys are rows of their own.  The random key of a row depends on ``key`` and
     ``seed`` only; equal keys are drawn in any order.
     """
@@ -147,12 +184,16 @@ def quota_sample(df: DataFrame, key: str, fields: list[str], targets: DataFrame,
         one = sample.groupBy(F.lit(f).alias("field_name"), F.col(f).alias("category")).agg(F.count(F.lit(1)).alias("n_drawn"))
         got = one if got is None else got.unionByName(one)
     base = spark.createDataFrame(
-        [(r.field_name, r.category, float(r.target_share), int(r.min_rows), int(r.available), int(r.quota)) for r in t.itertuples()],
-        "field_name string, category string, target_share double, min_rows long, available long, quota long",
+        [(r.field_name, r.category, float(r.target_share), int(r.min_rows), int(r.available), int(r.quota), float(r.unavailable)) for r in t.itertuples()],
+        "field_name string, category string, target_share double, min_rows long, available long, quota long, unavailable double",
     )
     drawn = F.coalesce("n_drawn", F.lit(0))
-    need = F.greatest(F.col("target_share") * n, F.col("min_rows").cast("double"))
+    # a target that is no whole number is met by the whole number below it, a quota of the allocation
+    wanted = F.greatest(F.floor(F.col("target_share") * n + 1e-9), F.col("min_rows"))
+    missing = F.greatest(F.when(F.col("unavailable") > 0, F.ceil(F.greatest(F.col("target_share") * n, F.col("min_rows").cast("double")) - 1e-9)).otherwise(wanted) - drawn, F.lit(0))
     report = base.join(got, ["field_name", "category"], "left").select(
-        *base.columns, drawn.alias("n_drawn"), (drawn / F.lit(max(1, n))).alias("drawn_share"), (F.col("available") < need).alias("shortfall")
+        *base.columns, drawn.alias("n_drawn"), (drawn / F.lit(max(1, n))).alias("drawn_share"), missing.alias("missing")
     )
-    return sample, report
+    short = (F.col("missing") > 0) | (F.col("unavailable") > 0)
+    reason = F.when(F.col("unavailable") > 0, "not available").when(F.col("missing") > 0, "fields exclude each other")
+    return sample, report.select("*", short.alias("shortfall"), reason.alias("reason"))

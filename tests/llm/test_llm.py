@@ -24,6 +24,14 @@ def test_look_alikes_of_an_empty_table(spark):
     assert lookalike.look_alike_pairs(spark.createDataFrame([], "id long, name string"), "id", "name").count() == 0
 
 
+def test_look_alikes_of_other_scripts_and_of_characters_the_corpus_never_had(spark):
+    rows = [(1, "Sign Group"), (2, "ꓢiɡո Grουp"), (3, "Տi𝐠n Ꮐroսp"), (4, "Sign  Group"), (5, "Sign – Group"), (6, "Sign — Group")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    assert {(r[0], r[1]) for r in lookalike.look_alike_pairs(df, "id", "name").collect()} == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+    other = lookalike.Rewriter(lookalike.look_alike_classes({"a": 5}))
+    assert other("Ⅻ ｆｏｎｔ 𝒻 ″x′′") == 'XII font f "x"'
+
+
 def test_representative_is_the_most_frequent_member():
     classes = lookalike.look_alike_classes({"а": 9, "a": 2})
     assert classes["a"] == "а" and lookalike.look_alike_classes({"а": 1, "a": 2})["а"] == "a"
@@ -135,6 +143,25 @@ def test_sample_follows_targets_and_reports_shortfalls(spark):
     assert empty.count() == 0 and rep.where("shortfall").count() == 7
 
 
+def test_fields_that_exclude_each_other_are_reported(spark):
+    """All rows of kind n are in bin low, so a quarter of low and a tenth of n can't both be met."""
+    rows = [(i, "low" if i % 3 == 0 else "high", "n" if i % 3 == 0 else "mn"[0] if i % 2 else "o") for i in range(3000)]
+    t = spark.createDataFrame([("f", "low", 0.25, 1), ("f", "high", 0.75, 1), ("g", "n", 0.1, 1), ("g", "m", 0.5, 1), ("g", "o", 0.4, 1)], "field_name string, category string, target_share double, min_rows long")
+    _, report = quota.quota_sample(spark.createDataFrame(rows, "id long, f string, g string"), "id", ["f", "g"], t)
+    got = {(r["field_name"], r["category"]): r for r in report.collect()}
+    short = {k: r["reason"] for k, r in got.items() if r["shortfall"]}
+    assert short and set(short.values()) == {"fields exclude each other"} and all(got[k]["missing"] == got[k]["quota"] - got[k]["n_drawn"] > 0 for k in short)
+    assert sum(r["n_drawn"] for k, r in got.items() if k[0] == "f") == sum(r["n_drawn"] for k, r in got.items() if k[0] == "g") == 300
+
+
+def test_quotas_that_can_all_be_met_are_met(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("aab"), rng.choice("xxyz"), rng.choice("pq")) for i in range(4000)]
+    t = [("f", "a", 0.37, 1), ("f", "b", 0.63, 1), ("g", "x", 0.21, 1), ("g", "y", 0.33, 1), ("g", "z", 0.46, 1), ("h", "p", 0.509, 1), ("h", "q", 0.491, 1)]
+    _, report = quota.quota_sample(spark.createDataFrame(rows, "id long, f string, g string, h string"), "id", ["f", "g", "h"], spark.createDataFrame(t, "field_name string, category string, target_share double, min_rows long"))
+    assert all(r["n_drawn"] == r["quota"] and not r["shortfall"] and r["reason"] is None for r in report.collect())
+
+
 # ---- tokens
 
 def test_tree_concatenation_is_exact():
@@ -146,6 +173,20 @@ def test_tree_concatenation_is_exact():
             assert tokens.encode_long(enc, text, pool, rng.choice([1, 2, 3, 7, 20, 50])) == enc.encode_ordinary(text)
 
 
+def test_halves_joined_are_the_encoding_of_the_whole():
+    enc, rng = tokens.encoder(), random.Random(9)
+    for _ in range(1500):
+        alphabet = rng.choice(["ab", "a b\n", "é日本a1。，", "  \n\t\x1cx", "ab's12 ,.", "a.b, c!'s 12", "日本語。テスト,abc 1"])
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300)))
+        assert tokens.encode_tree(enc, text, rng.choice([1, 2, 5, 20, 60])) == enc.encode_ordinary(text)
+
+
+def test_long_documents_are_joined_and_equal(spark):
+    df = spark.createDataFrame([(1, "The record was made. " * 200), (2, "short"), (3, None), (4, "日本語。" * 900)], "doc_id long, text string")
+    assert tuple(tokens.joined_exactly(df, "text").first()) == (4, 2, 4)
+    assert tuple(tokens.joined_exactly(df.limit(0), "text").first()) == (0, 0, 0)
+
+
 def test_ids_of_documents(spark):
     texts = ["Hello <|endoftext|> world", None, "", " ", "x" * 450_000 + " end", "Hello <|endoftext|> world"]
     df = spark.createDataFrame([(i % 5, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
@@ -180,6 +221,7 @@ def test_shares_and_caps(spark):
     assert {k for k, x in r.items() if x["short"]} == {"tiny", "gone"} and r["tiny"]["taken"] == 300 and r["gone"]["taken"] == 0
     for k in ("big", "mid"):
         assert abs(r[k]["reached_share"] - r[k]["target_share"]) < 0.005
+    assert abs(sum(x["share_of_mix"] for x in r.values()) - 1) < 1e-9 and r["big"]["share_of_mix"] > r["big"]["reached_share"]
     assert {x["source"] for x in used.select("source").distinct().collect()} == {"big", "mid", "tiny"}
     most = {"big": 2, "mid": 2, "tiny": 3}
     assert all(x["copies"] <= most[x["source"]] for x in used.collect())
