@@ -27,8 +27,10 @@ from creditweave.session import cut, keep
 ROUNDS = 3
 #: Weight of a value with n inner signs that is seen nowhere alone, against its parts (n in the exponent).
 INNER = 1e-2
-#: Atoms that one value may be made of, as R, B in R&B.
-LONGEST = 8
+#: Atoms that one value may be made of, as R, B in R&B: by definition no value has more inner signs than 63.
+LONGEST = 64
+#: Parts of a frequent run in the join with its values.
+SALTS = 16
 #: Pseudo count of a value that was never met, so no path has probability 0.
 FLOOR = 1e-3
 
@@ -240,16 +242,13 @@ def split_fields(rows: DataFrame, fields: list[str], key: str = "row_id") -> Dat
     splits = likely_splits(cutted, alone)
 
     sure = cutted.where(F.size("opens") == 0).select("row_id", "field_name", "items")
-    put = (
-        cutted.where(F.size("opens") > 0)
-        .withColumn("id", F.monotonically_increasing_id())
-        .select("id", "row_id", "field_name", F.posexplode("items").alias("nr", "run"), F.col("opens"))
-        .withColumn("key", F.when(F.array_contains("opens", F.col("nr")), F.col("run")))
-        .join(splits.withColumnRenamed("run", "key"), ["field_name", "key"], "left")
-        .groupBy("id")
-        .agg(F.first("row_id").alias("row_id"), F.first("field_name").alias("field_name"), F.sort_array(F.collect_list(F.struct("nr", F.coalesce("values", F.array("run")).alias("v")))).alias("parts"))
-        .select("row_id", "field_name", F.flatten(F.transform("parts", lambda p: p["v"])).alias("items"))
-    )
+    open_ = cutted.where(F.size("opens") > 0).select(F.monotonically_increasing_id().alias("id"), "row_id", "field_name", "items", "opens")
+    # only open runs are joined with their values; a run that very many rows hold is spread over SALTS keys
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    runs = open_.select("id", salt, "field_name", F.explode("opens").alias("nr"), "items").select("id", "salt", "field_name", "nr", F.element_at("items", F.col("nr") + 1).alias("run"))
+    spread = splits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = runs.join(spread, ["field_name", "run", "salt"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("nr", "values"))).alias("found"))
+    put = open_.join(found, "id").select("row_id", "field_name", F.flatten(F.transform("items", lambda v, i: F.coalesce(F.col("found")[i], F.array(v)))).alias("items"))
     one = plain.select("row_id", "field_name", F.array("value").alias("items"))
     all_ = one.unionByName(sure).unionByName(put).select("row_id", "field_name", F.filter("items", lambda v: v != "").alias("items"))
     return all_.select(F.col("row_id").alias(key), "field_name", F.size("items").alias("n_items"), F.posexplode("items").alias("pos", "item")).select(

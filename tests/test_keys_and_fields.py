@@ -2,8 +2,11 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from creditweave.operators import keyed, orphans, packed
 
 
@@ -63,16 +66,31 @@ def test_open_runs_are_split_by_learned_values(spark):
     assert sorted((p, len(t), n) for p, t, n in got[2004]) == [(1, 1, 2), (1, 50_000, 2), (2, 1, 2), (2, 1, 2)]
 
 
+def test_values_of_many_parts_and_a_hot_run(spark):
+    long = "/".join(f"Part{i}" for i in range(12))
+    rows = [(i, f'"{long}"', None) for i in range(20)] + [(100 + i, long, None) for i in range(3)] + [(1000 + i, "Organ/Harp", None) for i in range(3000)] + [(9000 + i, v, None) for i, v in enumerate(["Organ", "Harp"] * 20)]
+    got: dict[int, list] = {}
+    for r in packed.split_fields(spark.createDataFrame(rows, "row_id long, role string, extra string"), ["role"]).collect():
+        got.setdefault(r["row_id"], []).append(r["item"])
+    assert all(got[i] == [long] for i in (0, 100, 102)) and all(got[1000 + i] == ["Organ", "Harp"] for i in range(3000))
+
+
 def test_split_of_an_empty_table(spark):
     assert packed.split_fields(spark.createDataFrame([], "row_id long, role string"), ["role"]).count() == 0
 
 
 def test_bitmap_round_trip():
-    codes = np.array([0, 5, 77, 1023])
-    assert np.flatnonzero(np.unpackbits(orphans.unpack(orphans.pack(codes, 1024), 1024))).tolist() == codes.tolist()
+    codes, rows = np.array([0, 5, 77, 1023, 5]), np.array([0, 0, 0, 0, 2])
+    bits = orphans.unpack_bits(orphans.pack_bits(codes, rows, (3, 1024)), (3, 1024))
+    assert sorted(zip(*np.nonzero(bits))) == sorted(zip(rows, codes))
+
+
+@pytest.mark.parametrize("keys", [pa.array([-(2**62), -3, 0, 7, 2**62]), pa.array(["", "a", "é日本", "z" * 70_000]), pa.array([], pa.int64()), pa.array([], pa.string())])
+def test_dictionary_round_trip(keys):
+    assert orphans.unpack_keys(orphans.pack_keys(keys), len(keys), pa.types.is_string(keys.type)).equals(keys)
 
 
-def test_orphans_against_brute_force(spark):
+def test_orphans_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     day = lambda d: datetime(2024, 1 + d // 28, 1 + d % 28)
     parents = {int(k): day(int(rng.integers(0, 300))) for k in rng.integers(0, 60, 45)}
@@ -82,5 +100,10 @@ def test_orphans_against_brute_force(spark):
     got = {(x["row_id"], x["load_month"]) for x in orphans.orphan_rows(r, p, "t").collect()}
     want = {(i, t and t.strftime("%Y-%m")) for i, k, t in refs if k is not None and (k not in parents or (t and parents[k] > t))}
     assert got == want
+    # keys as texts, in blocks of few rows, with parents listed twice
+    monkeypatch.setattr(orphans, "HELD_ROWS", 100)
+    text = lambda d: d.withColumn("key", F.concat(F.lit("K"), F.col("key").cast("string")))
+    late = p.withColumn("first_seen", F.expr("first_seen + interval 400 days"))
+    assert {(x["row_id"], x["load_month"]) for x in orphans.orphan_rows(text(r), text(p.union(late)), "t", ranges=3).collect()} == want
     assert orphans.orphan_rows(r.limit(0), p, "t").count() == 0
     assert orphans.orphan_rows(r, p.limit(0), "t").count() == 3002
