@@ -3,18 +3,29 @@
 Each letter has a random vector of +1 and -1.  A letter n-gram is the product of its
 letters' vectors, each rotated by its place in the n-gram (binding); a text is the sum of
 its n-gram vectors (bundling).  A language's prototype bundles short built-in texts with
-the profiles of labelled segments of the corpus; labels that fit worst are left out, and
-the prototypes are corrected on the segments they get wrong.  A segment gets the language whose prototype has the highest cosine with
-it, and as confidence the share of that language in the softmax of the cosines.
+the profiles of labelled segments of the corpus; labels that a profile contradicts are
+replaced, and the prototypes are corrected on the segments they get wrong.  A segment gets the language
+whose prototype has the highest cosine with it, and as confidence the share of that language
+in the softmax of the cosines, of which the scale is calibrated on labelled segments held
+out of the fit.  A segment whose best cosine is below what held-out segments of the
+languages have gets the language ``und``: it is none of them.
+
+A cosine with a bundle is the sum of the cosines with its n-grams, over the length of the
+bundle, which is that of orthogonal vectors as random ones nearly are.  So a task keeps one
+row of cosines for each n-gram it has met, and a batch is one look-up and one sum.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +33,15 @@ from pyspark.sql import functions as F
 LANGUAGES = ("de", "en", "es", "fr", "it", "pt")
 DIMENSIONS = 2048
 GRAM = 3
-#: Softmax scale of the cosines for the confidence.
-SHARPNESS = 40.0
-#: Rows with a language label that the prototypes are fitted on, at most.
-TRAINING_ROWS = 5_000
-#: Share of labelled segments taken for mislabelled, correction passes, their step, and the lead a right prototype must have.
-WRONG_LABELS, EPOCHS, RATE, MARGIN = 0.15, 50, 0.3, 0.05
+#: Softmax scales of the cosines, of which the confidence takes the one that fits held-out labels best; that without enough of these.
+SHARPNESS, SHARPNESSES = 40.0, (10.0, 15.0, 20.0, 30.0, 40.0, 60.0, 80.0, 120.0)
+#: Rows with a language label that the prototypes are fitted on, at most, the longest text among them, and the segments of all.
+TRAINING_ROWS, TRAINING_CHARS, TRAINING_SEGMENTS = 5_000, 4_000, 15_000
+#: Part of the segments held out of the fit, and the part of these below the cosine of which half is the least one.
+HELD_OUT, STRANGE = 0.2, 0.001
+UNKNOWN = "und"
+#: Share of segments whose label is taken for wrong, rounds of bundling, correction passes, their step, and the lead a right prototype must have.
+WRONG_LABELS, ROUNDS, EPOCHS, RATE, MARGIN = 0.15, 4, 50, 0.3, 0.05
 
 # Notations of language labels, ISO 639-1, 639-2 (both forms) and names.
 NOTATIONS = {
@@ -60,12 +74,15 @@ _MARKUP = re.compile(r"\[(?:url|img)=[^\]]*\]|\[/?[a-z]{1,8}(?:=[^\]]*)?\]|\[[a-
 _END = re.compile(r"\s+[/—–|•·]+\s+|\s+-+\s+|\s*[\r\n]\s*|(?<=[.!?…])[\"'»”)\]]*\s+|\s*;\s+")
 _ABBREVIATED = re.compile(r"(?:^|[\s(\"'.])(?:[^\W\d]{1,2}|Mr|Mrs|Dott|Prof|Sig|Sra|Srta|Orch|Strum|Ens|Quart|Bnd)\.$")
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
+BLOCK = 4_000  # n-gram vectors that are made at once
+HELD_GRAMS = 500_000  # n-grams whose cosines a task keeps
 SHORTEST = 3  # words of a segment; shorter ones belong to the segment before
 
 
 def plain_text(text: str) -> str:
     """Text without markup."""
-    return _MARKUP.sub(" ", text)
+    return _MARKUP.sub(" ", text) if any(c in text for c in "[<&:") else text
 
 
 def segments(text: str) -> list[str]:
@@ -94,12 +111,6 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def letters(text: str) -> str:
-    """What n-grams are taken of: words in lower case between single blanks; accents stay."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    return " " + " ".join(_WORD.findall(text)) + " "
-
-
 def label_of(label: str | None) -> str | None:
     """The language that a label names, or None."""
     if not label:
@@ -117,41 +128,112 @@ def label_column(label: F.Column) -> F.Column:
     return out
 
 
+def letter_lines(segments: list[str]) -> list[str]:
+    """What n-grams are taken of, for each segment: words in lower case between single blanks; accents stay."""
+    text = "\n".join(segments)
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+    return [f" {x.strip(' ')} " for x in _NO_LETTERS.sub(" ", text).split("\n")]
+
+
+def gram_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of all lines as integers, 21 bits a letter, and the line that each is of."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.int64)
+    line = np.repeat(np.arange(len(lines)), size)
+    n = max(0, len(codes) - GRAM + 1)
+    keys = np.zeros(n, np.int64)
+    for place in range(GRAM):
+        keys = (keys << 21) | codes[place : place + n]
+    inside = line[:n] == line[GRAM - 1 :]
+    return keys[inside], line[:n][inside]
+
+
 class Space:
     """The random letter vectors and the n-gram vectors made of them."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7) -> None:
         self.dimensions, self.seed = dimensions, seed
-        self.letter: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
-
-    def of_letter(self, c: str) -> np.ndarray:
-        if c not in self.letter:
-            self.letter[c] = (np.random.default_rng((self.seed, ord(c))).integers(0, 2, self.dimensions) * 2 - 1).astype(np.int8)
-        return self.letter[c]
-
-    def of_gram(self, gram: str) -> np.ndarray:
-        v = self.grams.get(gram)
-        if v is None:
-            v = np.ones(self.dimensions, np.int8)
-            for place, c in enumerate(gram):
-                v = v * np.roll(self.of_letter(c), place)
-            if len(self.grams) > 30_000:
-                self.grams.clear()
-            self.grams[gram] = v
-        return v
+        self.letter: dict[int, np.ndarray] = {}
+
+    def of_letter(self, code: int) -> np.ndarray:
+        if code not in self.letter:
+            self.letter[code] = (np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions) * 2 - 1).astype(np.int8)
+        return self.letter[code]
+
+    def of_grams(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors of n-grams: letters rotated by their place and multiplied."""
+        out = np.ones((len(keys), self.dimensions), np.int8)
+        for place in range(GRAM):
+            codes, at = np.unique((keys >> (21 * (GRAM - 1 - place))) & 0x1FFFFF, return_inverse=True)
+            if len(codes):
+                out *= np.stack([np.roll(self.of_letter(int(c)), place) for c in codes])[at]
+        return out
+
+    def of_texts(self, texts: list[str]) -> np.ndarray:
+        """Profiles of texts: the sums of their n-gram vectors."""
+        out = np.zeros((len(texts), self.dimensions), np.float32)
+        keys, line = gram_keys(letter_lines(texts))
+        codes, grams = pd.factorize(keys)
+        for lo in range(0, len(grams), BLOCK):  # so many n-gram vectors at a time
+            here = (codes >= lo) & (codes < lo + BLOCK)
+            if here.any():
+                pairs, n = np.unique(line[here] * len(grams) + codes[here], return_counts=True)
+                at, gram = np.divmod(pairs, len(grams))
+                vectors = self.of_grams(grams[lo : lo + BLOCK]).astype(np.float32)
+                rows, first = np.unique(at, return_index=True)
+                ends = [*first[1:].tolist(), len(at)]
+                for r, i, j in zip(rows.tolist(), first.tolist(), ends):
+                    out[r] += n[i:j].astype(np.float32) @ vectors[gram[i:j] - lo]
+        return out
 
     def of_text(self, text: str) -> np.ndarray:
-        """Profile of a text: the sum of its n-gram vectors."""
-        s = letters(text)
-        count: dict[str, int] = {}
-        for i in range(len(s) - GRAM + 1):
-            g = s[i : i + GRAM]
-            count[g] = count.get(g, 0) + 1
-        if not count:
-            return np.zeros(self.dimensions, np.float32)
-        w = np.fromiter(count.values(), np.float32, len(count))
-        return w @ np.stack([self.of_gram(g) for g in count]).astype(np.float32)
+        return self.of_texts([text])[0]
+
+
+@dataclass
+class Prototypes:
+    """A unit vector per language, the scale of the softmax and the least cosine of a segment of one of them."""
+
+    vectors: np.ndarray
+    sharpness: float = SHARPNESS
+    least: float = -1.0
+
+
+class Scorer:
+    """Cosines of segments with the prototypes, by the n-grams met so far."""
+
+    def __init__(self, prototypes: Prototypes) -> None:
+        self.space, self.vectors = Space(), prototypes.vectors.astype(np.float32)
+        self.known: dict[int, int] = {}
+        self.rows = np.zeros((0, len(self.vectors)), np.float32)
+
+    def of_grams(self, keys: np.ndarray) -> np.ndarray:
+        new = [k for k in keys.tolist() if k not in self.known]
+        if len(self.known) + len(new) > HELD_GRAMS and self.known:
+            self.known.clear()
+            self.rows = self.rows[:0]
+            new = keys.tolist()
+        if new:
+            made = [self.space.of_grams(np.array(new[i : i + BLOCK])).astype(np.float32) @ self.vectors.T for i in range(0, len(new), BLOCK)]
+            self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, *made])
+        return self.rows[[self.known[k] for k in keys.tolist()]]
+
+    def __call__(self, segments: list[str]) -> np.ndarray:
+        """Cosines, a row per segment; 0 for one without an n-gram."""
+        out = np.zeros((len(segments), len(self.vectors)))
+        keys, line = gram_keys(letter_lines(segments)) if segments else (np.zeros(0, np.int64),) * 2
+        if not len(keys):
+            return out
+        codes, grams = pd.factorize(keys)
+        pair, pairs = pd.factorize(line * len(grams) + codes)
+        n = np.bincount(pair).astype(np.float64)
+        at, gram = np.divmod(pairs, len(grams))
+        cos = self.of_grams(grams)[gram]
+        for k in range(out.shape[1]):
+            out[:, k] = np.bincount(at, n * cos[:, k], len(segments))
+        length = np.sqrt(self.space.dimensions * np.bincount(at, n * n, len(segments)))
+        return out / np.where(length == 0, 1, length)[:, None]
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -164,36 +246,41 @@ def centred(p: np.ndarray) -> np.ndarray:
     return unit(unit(p) - unit(p).mean(0))
 
 
-def seed_prototypes(space: Space) -> np.ndarray:
-    return np.stack([unit(space.of_text(SEED[k])) for k in LANGUAGES])
-
-
-def judge(space: Space, prototypes: np.ndarray, text: str) -> tuple[int, float]:
-    """Index of the language and confidence."""
-    cos = prototypes @ unit(space.of_text(text))
-    e = np.exp(SHARPNESS * (cos - cos.max()))
-    best = int(cos.argmax())
-    return best, float(e[best] / e.sum())
-
-
 def retrain(profiles: np.ndarray, labels: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Prototypes bundled from labelled profiles and corrected on those they get wrong.
 
-    Each profile that comes nearer to another prototype than to its own is added to its own
-    and taken from the other, for EPOCHS passes.  The part WRONG_LABELS that fits its label
-    worst after that is taken for mislabelled, and all is done again without it.
+    A label holds for a document, is wrong at times and says nothing of a segment in another
+    language.  So each segment first gets the language that its cosines and its label,
+    of which the part WRONG_LABELS is wrong, make likeliest; the prototypes are bundled
+    anew from these languages, ROUNDS times.  Then each profile that does not come nearer to its
+    own prototype than to any other by MARGIN is added to its own and taken from the other,
+    for EPOCHS passes.
     """
     v = profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-9)
-    kept = np.ones(len(v), bool)
-    proto = start
-    for last in (False, True):
-        x, y = v[kept], labels[kept]
-        bundles = np.stack([x[y == k].sum(0) if (y == k).any() else np.zeros(x.shape[1]) for k in range(len(LANGUAGES))])
-        proto = _correct(x, y, centred(unit(start) + 3 * unit(bundles)))
-        if not last:
-            margin, _ = _margins(v, labels, unit(proto))
-            kept = margin >= np.quantile(margin, WRONG_LABELS)
-    return unit(proto)
+    k = len(LANGUAGES)
+    prior = np.full((len(v), k), np.log(WRONG_LABELS / (k - 1)))
+    prior[np.arange(len(v)), labels] = np.log(1 - WRONG_LABELS)
+    proto, own = centred(start), labels
+    for _ in range(ROUNDS):
+        own = (SHARPNESS * (v @ proto.T) + prior).argmax(1)
+        bundles = np.stack([v[own == i].sum(0) if (own == i).any() else np.zeros(v.shape[1]) for i in range(k)])
+        proto = centred(unit(start) + 3 * unit(bundles))
+    return unit(_correct(v, own, proto))
+
+
+def calibrate(prototypes: Prototypes, texts: list[str], labels: np.ndarray) -> None:
+    """Scale of the softmax by the likelihood of held-out labels, of which an unknown part is wrong, and the least cosine, halfway from 0, that of unrelated text, to what hardly any of these segments falls below."""
+    cos = Scorer(prototypes)(texts)
+    rows = np.arange(len(labels))
+    best = -np.inf
+    for scale in SHARPNESSES:
+        e = np.exp(scale * (cos - cos.max(1, keepdims=True)))
+        p = (e / e.sum(1, keepdims=True))[rows, labels]
+        for wrong in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
+            fit = float(np.log((1 - wrong) * p + wrong / len(LANGUAGES)).sum())
+            if fit > best:
+                best, prototypes.sharpness = fit, scale
+    prototypes.least = float(np.quantile(cos.max(1), STRANGE)) / 2
 
 
 def _margins(v: np.ndarray, labels: np.ndarray, proto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,65 +293,71 @@ def _margins(v: np.ndarray, labels: np.ndarray, proto: np.ndarray) -> tuple[np.n
 
 
 def _correct(v: np.ndarray, labels: np.ndarray, proto: np.ndarray) -> np.ndarray:
-    share = 1.0 / np.maximum(np.bincount(labels, minlength=len(LANGUAGES)), 1)  # languages weigh alike
+    step = RATE * len(LANGUAGES) / max(1, len(v))
     for _ in range(EPOCHS):
         margin, other = _margins(v, labels, unit(proto))
-        wrong = margin < MARGIN
-        if not wrong.any():
+        at = np.flatnonzero(margin < MARGIN)
+        if not len(at):
             break
-        at = np.flatnonzero(wrong)
         give = np.zeros((len(LANGUAGES), len(at)), np.float32)
-        by = share[labels[at]]
-        give[labels[at], np.arange(len(at))] = by
-        give[other[at], np.arange(len(at))] -= by
-        proto = proto + RATE * (give @ v[at])
+        give[labels[at], np.arange(len(at))] = step
+        give[other[at], np.arange(len(at))] -= step
+        proto = proto + give @ v[at]
     return proto
 
 
-def fit_prototypes(df: DataFrame, text: str, label: str, rows: int = TRAINING_ROWS) -> np.ndarray:
-    """Prototypes from the built-in texts and at most ``rows`` labelled rows of the corpus, those of smallest hash."""
+def fit_prototypes(df: DataFrame, text: str, label: str, rows: int = TRAINING_ROWS) -> Prototypes:
+    """Prototypes from the built-in texts and at most ``rows`` labelled rows of the corpus of up to TRAINING_CHARS characters, those of smallest hash."""
     space = Space()
-    start = seed_prototypes(space)
-    named = df.select(F.col(text).alias("text"), label_column(F.col(label)).alias("label")).where(r"label is not null and text rlike '[a-zA-Z]'")
-    profiles, labels = [], []
-    for r in named.orderBy(F.xxhash64("text")).limit(rows).collect():  # bounded by rows
-        for s in segments(r["text"]):
-            profiles.append(space.of_text(s).astype(np.int16))
-            labels.append(LANGUAGES.index(r["label"]))
-    if len(profiles) < 50:
-        return centred(start)
-    return retrain(np.stack(profiles).astype(np.float32), np.array(labels), start)
-
-
-def _segment_rows(prototypes: np.ndarray):
+    start = np.stack([unit(space.of_text(SEED[k])) for k in LANGUAGES])
+    named = df.select(F.col(text).alias("text"), label_column(F.col(label)).alias("label")).where(r"label is not null and text rlike '[a-zA-Z]'").where(F.length("text") <= TRAINING_CHARS)
+    found = [(s, LANGUAGES.index(r["label"])) for r in named.orderBy(F.xxhash64("text")).limit(rows).collect() for s in segments(r["text"])]  # bounded by rows and characters
+    # a segment that comes again, such as a fixed phrase, counts once, with the label it has most often
+    often: dict[str, Counter] = {}
+    for s, k in found:
+        often.setdefault(s, Counter())[k] += 1
+    found = [(s, max(n, key=lambda k: (n[k], -k))) for s, n in often.items()]
+    found = sorted(found, key=lambda x: (zlib.crc32(x[0].encode()), x[0]))[:TRAINING_SEGMENTS]
+    if len(found) < 50:
+        return Prototypes(centred(start))
+    held = round(len(found) * HELD_OUT)
+    out = Prototypes(retrain(space.of_texts([s for s, _ in found[held:]]), np.array([k for _, k in found[held:]]), start))
+    calibrate(out, [s for s, _ in found[:held]], np.array([k for _, k in found[:held]]))
+    return out
+
+
+_SEGMENTS = pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())])
+
+
+def _segment_rows(prototypes: Prototypes):
+    names = np.array([*LANGUAGES, UNKNOWN], object)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Space()
-        known: dict[str, tuple[int, float]] = {}
+        scorer = Scorer(prototypes)
         for b in batches:
-            out: list[list] = []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                rows = []
-                for s in segments(text or ""):
-                    key = letters(s)
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = judge(space, prototypes, s)
-                    k, c = known[key]
-                    rows.append({"segment": s, "lang": LANGUAGES[k], "confidence": round(c, 6)})
-                out.append(rows)
-            kind = pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*b.schema.names[:-1], "segments"])
+            cuts = [segments(text) if text else [] for text in b.column(b.num_columns - 1).to_pylist()]
+            every = [s for c in cuts for s in c]
+            cos = scorer(every)
+            e = np.exp(prototypes.sharpness * (cos - cos.max(1, keepdims=True))) if len(cos) else cos
+            best = cos.argmax(1) if len(cos) else np.zeros(0, int)
+            rows = np.arange(len(best))
+            strange = cos[rows, best] < prototypes.least
+            sure = np.round(np.where(strange, 0.0, e[rows, best] / e.sum(1)), 6)
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in cuts])]).astype(np.int32)
+            parts = [pa.array(every, pa.string()), pa.array(names[np.where(strange, len(LANGUAGES), best)], pa.string()), pa.array(sure, pa.float64())]
+            got = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, fields=list(_SEGMENTS)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], "segments"])
 
     return run
 
 
-def languages(df: DataFrame, columns: list[str], text: str, prototypes: np.ndarray) -> DataFrame:
+def languages(df: DataFrame, columns: list[str], text: str, prototypes: Prototypes) -> DataFrame:
     """``columns`` of each row and ``segments array<struct<segment, lang, confidence>>`` in the order of the text.
 
     Null, empty and blank texts, and texts of markup or signs without words, have no
-    segments.  Very short segments belong to their neighbour.  Texts are read whole; rows
-    are kept one for one, repeated ones too.
+    segments.  Very short segments belong to their neighbour.  A segment in none of the
+    languages is ``und`` with confidence 0.  Texts are read whole; rows are kept one for
+    one, repeated ones too.
     """
     narrow = df.select(*columns, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
@@ -276,14 +369,15 @@ def _is(lang: str):
 
 
 def document_language(judged: DataFrame) -> DataFrame:
-    """Adds ``lang`` and ``confidence`` of the document: its language by words, and the mean confidence of its segments times that language's share."""
+    """Adds ``lang`` and ``confidence`` of the document: its language by words, and the mean confidence of its segments times that language's share; ``und`` if all segments are."""
     size = F.aggregate("segments", F.lit(0.0), lambda a, s: a + F.length(s["segment"]))
     best = None
-    for k in LANGUAGES:
+    for k in (*LANGUAGES, UNKNOWN):  # the confidence of und is 0, so it wins only alone
         own = F.filter("segments", _is(k))
         n = F.aggregate(own, F.lit(0.0), lambda a, s: a + F.length(s["segment"]) * s["confidence"])
-        best = (best or []) + [F.struct(n.alias("n"), F.lit(k).alias("k"))]
+        best = (best or []) + [F.struct(n.alias("n"), F.lit(k != UNKNOWN).alias("named"), F.lit(k).alias("k"))]
     top = F.array_max(F.array(*best))
-    return judged.withColumn("__top", top).withColumn("lang", F.when(F.size("segments") > 0, F.col("__top.k"))).withColumn(
+    alone = F.forall("segments", _is(UNKNOWN))
+    return judged.withColumn("__top", top).withColumn("lang", F.when(F.size("segments") > 0, F.when(alone, UNKNOWN).otherwise(F.col("__top.k")))).withColumn(
         "confidence", F.when(F.size("segments") > 0, F.round(F.col("__top.n") / size, 6))
     ).drop("__top")

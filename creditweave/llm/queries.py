@@ -28,7 +28,7 @@ def _profiles(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    found = _profiles(spark, base).select("artist_id", language.label_column(F.col("profile_lang")).alias("label"), F.array_distinct("segments.lang").alias("langs"))
+    found = _profiles(spark, base).select("artist_id", language.label_column(F.col("profile_lang")).alias("label"), F.array_remove(F.array_distinct("segments.lang"), language.UNKNOWN).alias("langs"))
     wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
     return found.where((F.size("langs") > 0) & wrong).select("artist_id", F.explode("langs").alias("lang"))
 

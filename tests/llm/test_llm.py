@@ -58,6 +58,29 @@ def test_languages_of_segments(spark):
     assert language.languages(df.limit(0), ["id"], "text", proto).count() == 0
 
 
+def test_wrong_labels_and_other_languages(spark):
+    """A sixth of the labels is wrong, Italian outweighs all others, and texts in none of the languages are told apart."""
+    rng = random.Random(3)
+    other = ["Urodził się w małym mieście i przez wiele lat grał w orkiestrze.", "Он родился в маленьком городе и много лет играл в оркестре.", "彼は小さな町で生まれ、長年オーケストラで演奏した。"]
+    rows = []
+    for i in range(900):
+        k = rng.choice([*TEXTS, "it", "it", "it", "it"])
+        rows.append((i, TEXTS[k].replace("o", rng.choice("oóO"), 1) + f" {rng.choice(['Zorba', 'Quint', 'Vlado', 'Mira'])} {i}.", k if rng.random() < 5 / 6 else rng.choice(list(TEXTS)), k))
+    df = spark.createDataFrame(rows + [(9000 + i, t, None, "und") for i, t in enumerate(other)], "id long, text string, label string, truth string")
+    judged = language.document_language(language.languages(df, ["id", "truth"], "text", language.fit_prototypes(df, "text", "label"))).collect()
+    assert sum(r["lang"] == r["truth"] for r in judged) >= 900
+    assert all(r["lang"] == "und" and r["confidence"] == 0 for r in judged if r["truth"] == "und")
+
+
+def test_cosines_are_those_of_the_bundled_vectors():
+    space, texts = language.Space(), [*TEXTS.values(), "ab", "1 2 3", "la la la la"]
+    proto = language.unit(np.random.default_rng(1).normal(size=(6, space.dimensions)))
+    v = np.stack([space.of_text(t) for t in texts])
+    got = language.Scorer(language.Prototypes(proto))(texts)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.abs(got - v @ proto.T / np.where(n == 0, 1, n)).max() < 0.02 and not got[7].any()
+
+
 @pytest.mark.parametrize(("label", "want"), [("it-IT", "it"), ("ITA", "it"), ("English", "en"), ("ger", "de"), ("und", None), ("", None), (None, None), ("pt-PT", "pt")])
 def test_label_notations(spark, label, want):
     assert language.label_of(label) == want
