@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: Keys per block: 2**BLOCK_BITS array slots.
 BLOCK_BITS = 10
 HELD_BLOCKS = 4096  # blocks that a split holds before it sends them on; bounds its memory where keys are scattered
-SCATTERED = 64  # array slots per row of a batch beyond which the batch is counted without arrays
+SCATTERED = 64  # array slots per row of a batch beyond which the batch is counted by its distinct keys, which the split adds up too
+HELD_KEYS = 500_000  # distinct scattered keys that a split holds before it sends them on
 SPARSE_BELOW = 4  # a block with fewer used slots than 1/SPARSE_BELOW is sent as a slot list
 
 _PARTIAL = "field_name string, block long, slots binary, sums binary"
@@ -48,6 +49,7 @@ def _accumulate(fields: list[str], measures: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, dict[int, np.ndarray]] = {f: {} for f in fields}
+        apart: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {f: [] for f in fields}
         for batch in batches:
             got = {m: batch.column(batch.schema.get_field_index(m)).fill_null(0).to_numpy(zero_copy_only=False) for m in measures}
             for f in fields:
@@ -58,7 +60,11 @@ def _accumulate(fields: list[str], measures: list[str]):
                 there = col.is_valid().to_numpy(zero_copy_only=False) if col.null_count else None
                 blocks, code = np.unique(keys >> BLOCK_BITS, return_inverse=True)  # the split's dictionary
                 if len(blocks) * width > SCATTERED * len(keys):
-                    yield _scattered(f, keys, [got[m] if there is None else got[m][there] for m in measures])
+                    apart[f].append(_distinct(keys, [got[m] if there is None else got[m][there] for m in measures]))
+                    if sum(len(k) for k, _ in apart[f]) > HELD_KEYS:
+                        apart[f] = [_added(apart[f])]
+                        if len(apart[f][0][0]) > HELD_KEYS // 2:
+                            yield _scattered(f, *apart[f].pop())
                     continue
                 slot = code * width + (keys & (width - 1))
                 size = len(blocks) * width
@@ -77,14 +83,28 @@ def _accumulate(fields: list[str], measures: list[str]):
             if sum(map(len, state.values())) > HELD_BLOCKS:
                 yield from emit(state)
         yield from emit(state)
+        for f in fields:
+            if apart[f]:
+                yield _scattered(f, *_added(apart[f]))
 
     return run
 
 
-def _scattered(field: str, keys: np.ndarray, weights: list[np.ndarray]) -> pa.RecordBatch:
-    """Partial sums of a batch whose keys lie too far apart for arrays: slot lists of its own."""
+def _distinct(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their rows and weights added up."""
     own, code = np.unique(keys, return_inverse=True)
-    sums = np.stack([np.bincount(code), *(np.rint(np.bincount(code, weights=w)) for w in weights)]).astype(np.int64)
+    return own, np.stack([np.bincount(code), *(np.rint(np.bincount(code, weights=w)) for w in weights)]).astype(np.int64)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    own, code = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sums = np.zeros((parts[0][1].shape[0], len(own)), np.int64)
+    np.add.at(sums, (slice(None), code), np.concatenate([s for _, s in parts], axis=1))
+    return own, sums
+
+
+def _scattered(field: str, own: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Keys that lie too far apart for arrays, as slot lists."""
     blocks, first = np.unique(own >> BLOCK_BITS, return_index=True)
     ends = [*first[1:].tolist(), len(own)]
     slots = (own & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)

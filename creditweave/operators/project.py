@@ -33,16 +33,26 @@ def in_band(df: DataFrame, key: str, least: int, most: int, member: str = "artis
     return df.join(ok.select(key), key, "left_semi")
 
 
-def pairs(df: DataFrame, key: str, strength: str | None, factor: float, most: int) -> DataFrame:
-    """``u < v, w``: members that share a key, weighted by the product of their strengths or by 1 per key.
+def casts(df: DataFrame, key: str, most: int, strength: str | None = None) -> DataFrame:
+    """``key, cast array<struct<m, s>>``: the distinct members of each key that has 2 to ``most``, in order, with their greatest strength.
 
-    The band of cast sizes bounds the pairs of a key to most x (most - 1) / 2, so no key is a hot spot.
+    Members beyond ``most + 1`` are cut off before and after the one shuffle by key, so a key that holds a third of the
+    rows brings a few rows of each task, and no task gathers it.
     """
-    band = in_band(df.where(F.col(key).isNotNull()), key, 2, most)
-    one = band.groupBy("artist_id", key).agg(F.max(strength).alias("s")) if strength else band.select("artist_id", key).distinct().withColumn("s", F.lit(1.0))
-    a = one.select(key, F.col("artist_id").alias("u"), F.col("s").alias("su"))
-    b = one.select(key, F.col("artist_id").alias("v"), F.col("s").alias("sv"))
-    return a.join(b, key).where("u < v").groupBy("u", "v").agg((F.sum(F.col("su") * F.col("sv")) * factor).alias("w"))
+    one = df.where(F.col(key).isNotNull()).groupBy(key, "artist_id").agg((F.max(strength) if strength else F.lit(1.0)).alias("s"))
+    few = one.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy("artist_id"))).where(F.col("__i") <= most + 1)
+    return few.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("artist_id").alias("m"), "s"))).alias("cast")).where(F.size("cast").between(2, most))
+
+
+def cast_pairs(cast: str = "cast") -> Column:
+    """Pairs ``u < v, w`` of an ordered cast, at most most x (most - 1) / 2 of them."""
+    c = F.col(cast)
+    return F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.struct(x["m"].alias("u"), y["m"].alias("v"), (x["s"] * y["s"]).alias("w")))))
+
+
+def pairs(df: DataFrame, key: str, strength: str | None, factor: float, most: int) -> DataFrame:
+    """``u < v, w``: members that share a key, a row per key, weighted by the product of their strengths or by 1."""
+    return casts(df, key, most, strength).select(F.explode(cast_pairs()).alias("p")).select("p.u", "p.v", (F.col("p.w") * factor).alias("w"))
 
 
 def project(credits: DataFrame, w: Weights = Weights()) -> DataFrame:
@@ -54,12 +64,13 @@ def project(credits: DataFrame, w: Weights = Weights()) -> DataFrame:
 
 
 def dated_edges(credits: DataFrame, releases: DataFrame, years: tuple[int, int], most: int = 8) -> DataFrame:
-    """``u, v, year, n_shared``: pairs with the year of their first shared work and the number of those."""
-    c = in_band(credits.select("artist_id", "release_id").distinct(), "release_id", 2, most)
-    c = c.join(releases.where(F.col("year").between(*years)), "release_id")
-    a = c.select("release_id", "year", F.col("artist_id").alias("u"))
-    b = c.select("release_id", "year", F.col("artist_id").alias("v"))
-    return a.join(b, ["release_id", "year"]).where("u < v").groupBy("u", "v").agg(F.min("year").alias("year"), F.count_distinct("release_id").alias("n_shared"))
+    """``u, v, year, n_shared``: pairs with the year of their first shared work and the number of those.
+
+    The year joins the cast of a release, one row, not its credits.
+    """
+    when = releases.where(F.col("year").between(*years)).groupBy("release_id").agg(F.min("year").alias("year"))
+    each = casts(credits.select("artist_id", "release_id"), "release_id", most).join(when, "release_id").select("year", F.explode(cast_pairs()).alias("p"))
+    return each.groupBy("p.u", "p.v").agg(F.min("year").alias("year"), F.count(F.lit(1)).alias("n_shared"))
 
 
 def filter_credits(credits: DataFrame, sizes: DataFrame, various: DataFrame, *, most: int = 8, exclude_compilations: bool = False, track_credits: bool = True) -> DataFrame:
@@ -81,18 +92,21 @@ def resolve_positions(credits: DataFrame, tracklist: DataFrame) -> DataFrame:
 
     ``tracklist(release_id, sequence, position, track_key)``.  Positions are ordinals of the
     track list; of a position given twice the last one counts.  A credit resolves only if all of
-    its parts do; a range goes from its first to its last ordinal.
+    its parts do; a range goes from its first to its last ordinal.  Each track field of a release is
+    resolved once, however many credits have it, and a range is opened to its ordinals, so
+    that all joins are on equal keys that spread a release of very many credits.
     """
     w = Window.partitionBy("release_id").orderBy("sequence", "track_key")
     order = tracklist.withColumn("ordinal", F.row_number().over(w) - 1)
     at = order.where(blank_to_null(F.col("position")).isNotNull()).groupBy("release_id", F.upper(F.trim("position")).alias("position")).agg(F.max("ordinal").alias("ordinal"))
-    parts = credits.select("row_id", "release_id", F.posexplode(track_field(F.col("tracks"))).alias("nr", "p")).select("row_id", "release_id", "nr", "p.kind", "p.first", "p.last")
+    fields = credits.where(F.col("tracks").isNotNull()).select("release_id", "tracks").distinct()
+    parts = fields.select("release_id", "tracks", F.posexplode(track_field(F.col("tracks"))).alias("nr", "p")).select("release_id", "tracks", "nr", "p.kind", "p.first", "p.last")
     first = at.select("release_id", F.col("position").alias("first"), F.col("ordinal").alias("lo"))
     last = at.select("release_id", F.col("position").alias("last"), F.col("ordinal").alias("hi"))
     got = parts.join(first, ["release_id", "first"], "left").join(last, ["release_id", "last"], "left")
     got = got.withColumn("hi", F.when(F.col("kind") == "ONE", F.col("lo")).otherwise(F.col("hi")))
     good = F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi"))
-    whole = got.groupBy("row_id").agg(F.bool_and(good).alias("ok"), F.first("release_id").alias("release_id"), F.collect_list(F.struct("lo", "hi")).alias("spans")).where("ok")
-    spans = whole.select("row_id", "release_id", F.explode("spans").alias("s")).select("row_id", "release_id", "s.lo", "s.hi")
-    hit = spans.join(order.select("release_id", "ordinal", "track_key"), "release_id").where("ordinal between lo and hi")
-    return hit.select("row_id", "release_id", "track_key").distinct()
+    whole = got.groupBy("release_id", "tracks").agg(F.bool_and(good).alias("ok"), F.collect_list(F.struct("lo", "hi")).alias("spans")).where("ok")
+    places = whole.select("release_id", "tracks", F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["lo"], s["hi"]))))).alias("ordinal"))
+    found = places.join(order.select("release_id", "ordinal", "track_key"), ["release_id", "ordinal"]).select("release_id", "tracks", "track_key").distinct()
+    return credits.select("row_id", "release_id", "tracks").join(found, ["release_id", "tracks"]).select("row_id", "release_id", "track_key").distinct()

@@ -52,9 +52,11 @@ def pool_rare(df: DataFrame, column: str, least: int, other: str = "Other") -> D
     return df.join(n, column, "left").withColumn(column, F.when(F.col("__n") >= least, F.col(column)).otherwise(other)).drop("__n")
 
 
-def dummies(df: DataFrame, column: str, reference: str | None = None) -> tuple[DataFrame, list[str]]:
-    """0/1 columns of all levels but the reference, the smallest one by default."""
-    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())  # the levels of a model
+def dummies(df: DataFrame, column: str, reference: str | None = None, most_levels: int = 200) -> tuple[DataFrame, list[str]]:
+    """0/1 columns of all levels but the reference, the smallest one by default; more than ``most_levels`` are refused, pool rare ones first."""
+    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most_levels + 1).collect())
+    if len(levels) > most_levels:
+        raise ValueError(f"{column} has more than {most_levels} levels")
     base = reference if reference in levels else levels[0] if levels else None
     names = []
     for v in levels:

@@ -274,7 +274,7 @@ def _role_sql() -> str:
         return "list_has_any(l, [" + ", ".join("'" + x.lower() + "'" for x in T.ROLE_LISTS[k]) + "])"
 
     def word(k: str) -> str:
-        return r"regexp_matches(t, '\b(" + "|".join(T.ROLE_WORDS[k].split()) + r")\b', 'i')"
+        return r"regexp_matches(t, '\b(" + T.ROLE_WORDS[k] + r")\b', 'i')"
 
     return f"""
 WITH x AS (SELECT CASE WHEN extra = 0 THEN 'main' ELSE 'umbrella' END AS scope,
