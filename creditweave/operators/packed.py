@@ -6,6 +6,8 @@ may still hold ``& + /`` between two words without blanks, as ``Vocals/Producer`
 values) or ``A&R`` (one).  For these runs a lattice of the possible cuts is built:
 expectation-maximisation over the runs of the whole column learns how often each value
 occurs, starting from the values seen alone, and a Viterbi pass picks the likeliest cuts.
+Expected counts of values with inner signs are discounted, as likelihood alone would take
+whole runs for values.
 Quoted spans and bracketed notes are atoms of the lattice and never cut.
 
 Everything is done on distinct runs with counts; the learned values stay in a table.
@@ -26,7 +28,11 @@ from creditweave.session import cut, keep
 
 ROUNDS = 3
 #: Weight of a value with n inner signs that is seen nowhere alone, against its parts (n in the exponent).
-INNER = 1e-2
+INNER = 1e-4
+#: Taken off the expected count of a value with inner signs in each round, or the runs of a column would be learned as values themselves.
+DISCOUNT = 1.0
+#: Probability of nothing between two signs.
+BLANK = 1e-2
 #: Atoms that one value may be made of, as R, B in R&B: by definition no value has more inner signs than 63.
 LONGEST = 64
 #: Parts of a frequent run in the join with its values.
@@ -104,7 +110,10 @@ def lattice(run: list[str]) -> list[tuple[int, int, str]]:
 
 
 def weight(text: str, inner: int, counts: dict[str, float], total: float) -> float:
-    got = counts.get(known_form(text), 0.0)
+    form = known_form(text)
+    if not form:
+        return math.log(BLANK)
+    got = counts.get(form, 0.0)
     return math.log((got + FLOOR * INNER**inner) / (total + 1.0))
 
 
@@ -123,8 +132,8 @@ def best_cuts(run: list[str], counts: dict[str, float], total: float) -> list[st
     return cuts[::-1]
 
 
-def expected(run: list[str], counts: dict[str, float], total: float) -> dict[str, float]:
-    """Forward-backward: how often each segment of a run is expected to be a value."""
+def expected(run: list[str], counts: dict[str, float], total: float) -> dict[tuple[str, bool], float]:
+    """Forward-backward: how often each segment of a run is expected to be a value; by form and whether it has inner signs."""
     atoms = (len(run) + 1) // 2
     segs = [(i, j + 1, text, math.exp(weight(text, j - i, counts, total))) for i, j, text in lattice(run)]
     ahead, behind = [1.0] + [0.0] * atoms, [0.0] * atoms + [1.0]
@@ -132,9 +141,9 @@ def expected(run: list[str], counts: dict[str, float], total: float) -> dict[str
         ahead[j] += ahead[i] * p
     for i, j, _, p in sorted(segs, key=lambda s: -s[0]):
         behind[i] += p * behind[j]
-    got: dict[str, float] = Counter()
+    got: dict[tuple[str, bool], float] = Counter()
     for i, j, text, p in segs:
-        got[known_form(text)] += ahead[i] * p * behind[j] / ahead[-1] if ahead[-1] else 0.0
+        got[known_form(text), j - i > 1] += ahead[i] * p * behind[j] / ahead[-1] if ahead[-1] else 0.0
     return got
 
 
@@ -162,11 +171,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got: Counter = Counter()
         for f, run, n, total, seen in zip(*(c.to_pylist() for c in b.columns)):
-            for form, e in expected(pieces(run)[0], dict(seen), total).items():
-                got[f, form] += n * e
+            for (form, inner), e in expected(pieces(run)[0], dict(seen), total).items():
+                if form:
+                    got[f, form, inner] += n * e
         keys = list(got)
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([got[k] for k in keys], pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, ["field_name", "form", "c"])
+        cols = [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))), pa.array([got[k] for k in keys], pa.float64())]
+        yield pa.RecordBatch.from_arrays(cols, ["field_name", "form", "inner", "c"])
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +220,8 @@ def likely_splits(fields: DataFrame, alone: DataFrame) -> DataFrame:
     base = cut(near.groupBy("field_name", "form").agg(F.sum("c").alias("c")))
     values = base
     for _ in range(ROUNDS):
-        learned = _with_counts(runs, values).mapInArrow(_learn, "field_name string, form string, c double")
+        learned = _with_counts(runs, values).mapInArrow(_learn, "field_name string, form string, inner boolean, c double").groupBy("field_name", "form", "inner").agg(F.sum("c").alias("c"))
+        learned = learned.select("field_name", "form", F.when(F.col("inner"), F.col("c") - DISCOUNT).otherwise(F.col("c")).alias("c")).where("c > 0")
         values = cut(base.unionByName(learned).groupBy("field_name", "form").agg(F.sum("c").alias("c")))
     return _with_counts(runs, values).mapInArrow(_choose, "field_name string, run string, values array<string>")
 

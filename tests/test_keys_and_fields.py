@@ -75,6 +75,16 @@ def test_values_of_many_parts_and_a_hot_run(spark):
     assert all(got[i] == [long] for i in (0, 100, 102)) and all(got[1000 + i] == ["Organ", "Harp"] for i in range(3000))
 
 
+def test_runs_of_known_values_are_not_learned_as_values(spark):
+    rows = [(i, f"{s}{n}") for i, (s, n) in enumerate((s, n) for s in "ABCD" for n in range(1, 7) for _ in range(40))]
+    rows += [(5000 + i, "A1/A2/A3/A4/A5/B6") for i in range(4)] + [(6000, "A4/B4/D1 - D2"), (6001, "C1//C3"), (6002, "Q&A"), (6003, "Q&A, B2")]
+    got: dict[int, list] = {}
+    for r in sorted(packed.split_fields(spark.createDataFrame(rows, "row_id long, tracks string"), ["tracks"]).collect(), key=lambda r: r["pos"]):
+        got.setdefault(r["row_id"], []).append(r["item"])
+    assert got[5000] == ["A1", "A2", "A3", "A4", "A5", "B6"] and got[6000] == ["A4", "B4", "D1 - D2"] and got[6001] == ["C1", "C3"]
+    assert got[6002] == ["Q&A"] and got[6003] == ["Q&A", "B2"]
+
+
 def test_split_of_an_empty_table(spark):
     assert packed.split_fields(spark.createDataFrame([], "row_id long, role string"), ["role"]).count() == 0
 
