@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweave.functions.maths import normal_p as p_of
 from creditweave.operators.rank import group_rank
 from creditweave.session import cut
 
@@ -137,13 +138,64 @@ def stratified_shuffle(df: DataFrame, key: str, label: str, by: list[str], seed:
     return a.join(b, [F.col("__at") == F.col("__j"), *on]).drop("__at", "__j", *names)
 
 
+def permuted_coefficient(df: DataFrame, y: str, x: str, terms: list[str], strata: list[str], binned: str, key: str, permutations: int = 2000, bins: int = 5, seed: int = 31, most_rows: int = 2_000_000) -> DataFrame:
+    """``coef, p, n, n_strata, permutations``: coefficient of ``x`` beside ``terms`` and its two-sided p when x is permuted within strata.
+
+    Strata are ``strata`` and the quintile of ``binned``.  Once y and x are freed of the other terms, a
+    permuted coefficient needs the sums of permuted x with y's residual and with the terms
+    only, and these are sums over strata; so strata are permuted side by side, and of each a
+    table of ``permutations`` x terms comes back.  ``most_rows`` bounds a stratum, which one task holds.
+    """
+    from creditweave.operators.population import rank_quintile
+
+    names = [*terms]
+    d = cut(rank_quintile(df, binned, key, bins).select(F.array(F.lit(1.0), *[F.col(f"`{t}`").cast("double") for t in names]).alias("z"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.concat_ws("|", *strata, "quintile").alias("stratum")).where("y is not null and x is not null and not exists(z, v -> v is null)"))
+    if (big := d.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > most_rows:
+        raise ValueError(f"a stratum of {big} rows; refine the strata")
+    k = len(names) + 1
+
+    def gram(batches):
+        import pandas as pd
+
+        total, n = np.zeros((k, k + 2)), 0
+        for pdf in batches:
+            if len(pdf):
+                z = np.stack(pdf["z"].to_numpy())
+                total += z.T @ np.column_stack([z, pdf["y"].to_numpy(), pdf["x"].to_numpy()])
+                n += len(pdf)
+        yield pd.DataFrame({"g": [total.ravel().tolist()], "n": [n]})
+
+    parts = d.mapInPandas(gram, "g array<double>, n long").collect()  # a matrix per task
+    g = sum((np.array(r["g"]).reshape(k, k + 2) for r in parts), np.zeros((k, k + 2)))
+    n = sum(r["n"] for r in parts)
+    inv = np.linalg.pinv(g[:, :k])
+    fit = inv @ g[:, k]
+
+    def permute(pdf):
+        import hashlib
+
+        import pandas as pd
+
+        pdf = pdf.assign(__h=[tuple(v) for v in pdf["z"]]).sort_values(["__h", "y", "x"])  # an order that does not depend on tasks
+        z, v = np.stack(pdf["z"].to_numpy()), pdf["x"].to_numpy()
+        rest = np.column_stack([pdf["y"].to_numpy() - z @ fit, z])
+        rng = np.random.default_rng((seed, int(hashlib.blake2b(str(pdf["stratum"].iloc[0]).encode(), digest_size=7).hexdigest(), 16)))
+        sums = np.stack([v @ rest, *(rng.permutation(v) @ rest for _ in range(permutations))])
+        return pd.DataFrame({"s": [sums.ravel().tolist()], "q": [float(v @ v)]})
+
+    got = d.groupBy("stratum").applyInPandas(permute, "s array<double>, q double")
+    total = got.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy().reshape(permutations + 1, k + 1) if n else np.zeros((1, k + 1))  # permutations x terms
+    strata_n, q = got.agg(F.count(F.lit(1)), F.coalesce(F.sum("q"), F.lit(0.0))).first()
+    free = q - np.einsum("ij,jk,ik->i", total[:, 1:], inv, total[:, 1:])
+    coef = np.where(free > 1e-12, total[:, 0] / np.where(free > 1e-12, free, 1), np.nan)
+    drawn = coef[1:]
+    p = float((1 + np.sum(np.abs(drawn - np.nanmean(drawn)) >= abs(coef[0] - np.nanmean(drawn)))) / (permutations + 1)) if n else None
+    return df.sparkSession.createDataFrame([(float(coef[0]) if n else None, p, n, strata_n, permutations)], "coef double, p double, n long, n_strata long, permutations int")
+
+
 def difference_test(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """z and two-sided p of the difference of coefficients of two fits, term by term."""
     x = a.select(*on, F.col("coef").alias("c1"), F.col("se").alias("s1")).join(b.select(*on, F.col("coef").alias("c2"), F.col("se").alias("s2")), on)
     z = F.try_divide(F.col("c2") - F.col("c1"), F.sqrt(F.col("s1") * F.col("s1") + F.col("s2") * F.col("s2")))
 
-    @F.pandas_udf("double")
-    def p(s):
-        return s.map(lambda v: None if v != v else normal_p(v), na_action="ignore")
-
-    return x.withColumn("z", z).withColumn("p", p("z"))
+    return x.withColumn("z", z).withColumn("p", p_of("z"))

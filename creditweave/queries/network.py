@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.operators import dyads, graph, homophily, project, regress, resample
+from creditweave.operators import dyads, graph, homophily, nulls, project, regress, resample
 from creditweave.session import cut
 from creditweave.sources import load
 
@@ -253,21 +253,21 @@ def GRF8_coreness(spark, base):
 
 
 def GRF12_pagerank(spark, base):
-    return graph.pagerank(_giant(spark, base), rounds=1000, tolerance=1e-10)
+    return _r(graph.pagerank(_giant(spark, base), rounds=1000, tolerance=1e-14), 9)
 
 
 def GRF11_eigenvector(spark, base):
-    return graph.eigenvector(_giant(spark, base))
+    return _r(graph.eigenvector(_giant(spark, base), tolerance=1e-13))
 
 
 def GRF13_non_backtracking(spark, base):
-    return graph.non_backtracking(_giant(spark, base))
+    return _r(graph.non_backtracking(_giant(spark, base), tolerance=1e-13))
 
 
 def GRF16_localisation(spark, base):
     """Inverse participation ratio and effective number of nodes of the eigenvector."""
-    x = GRF11_eigenvector(spark, base).agg((F.sum(F.pow("eigenvector", F.lit(4))) / F.pow(F.sum(F.pow("eigenvector", F.lit(2))), F.lit(2))).alias("ipr"), F.count(F.lit(1)).alias("n"))
-    return x.select("ipr", "n", (1 / F.col("ipr")).alias("effective"))
+    x = graph.eigenvector(_giant(spark, base), tolerance=1e-13).agg((F.sum(F.pow("eigenvector", F.lit(4))) / F.pow(F.sum(F.pow("eigenvector", F.lit(2))), F.lit(2))).alias("ipr"), F.count(F.lit(1)).alias("n"))
+    return x.select(F.round("ipr", 8).alias("ipr"), "n", F.round(1 / F.col("ipr"), 3).alias("effective"))
 
 
 def GRF10_betweenness(spark, base):
@@ -351,21 +351,20 @@ def REG6_additive_wald(spark, base):
 
 def NUL3_bootstrap(spark, base):
     c = homophily.edge_classes(dated(spark, base), known(spark, base), "gender")
-    b = resample.bootstrap_r(c, 400)
+    b = resample.bootstrap_r(c, 1000)
     return b.agg(F.count("r").alias("replicas"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
 
 
 def NUL8_permuted(spark, base):
-    """Edges within a category when labels are dealt anew, by replica; compare with the closed form."""
-    e = cut(dated(spark, base).select("u", "v"))
-    ends = e.select(F.explode(F.array("u", "v")).alias("artist_id")).distinct()
-    n = cut(known(spark, base).join(ends, "artist_id", "left_semi").select("artist_id", "gender", F.lit(1).alias("s")))
-    out = None
-    for b in range(5):
-        p = regress.stratified_shuffle(n, "artist_id", "gender", ["s"], b)
-        one = homophily.edge_classes(e, p, "gender").where("ci = cj").groupBy(F.lit(b).alias("replica"), F.col("ci").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Edges within each gender against 1000 permutations of the labels: mean, sd, ratio, z and one-sided p; compare with the closed form."""
+    e, n, out = cut(dated(spark, base).select("u", "v")), cut(known(spark, base)), None
+    seen = homophily.edge_classes(e, n, "gender").where("ci = cj").groupBy(F.col("ci").alias("category")).agg(F.count(F.lit(1)).alias("observed"))
+    got = cut(nulls.permuted_counts(e, n, "gender", "F"))
+    for c, col in (("F", "n_both"), ("M", "n_neither")):
+        one = got.select(F.lit(c).alias("category"), F.col(col).alias("k"))
         out = one if out is None else out.unionByName(one)
-    return out
+    x = out.join(seen, "category").groupBy("category", "observed").agg(F.avg("k").alias("expected"), F.stddev_pop("k").alias("sd"), ((F.count_if(F.col("k") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return x.select("category", "observed", "expected", "sd", F.try_divide("observed", F.col("expected")).alias("ratio"), F.try_divide(F.col("observed") - F.col("expected"), F.col("sd")).alias("z"), "p")
 
 
 def _incidence(spark: SparkSession, base: str) -> DataFrame:
@@ -398,19 +397,27 @@ def NUL15_reprojection(spark, base):
 
 
 def NUL17_imputation(spark, base):
-    return resample.imputed_r(cut(GRF1_projection(spark, base)), cut(nodes(spark, base)), replicas=10)
+    """r under bounds on the unknown labels and 200 draws of them."""
+    return resample.imputed_r(cut(GRF1_projection(spark, base)), cut(nodes(spark, base)))
 
 
 def NUL18_sensitivity(spark, base):
-    """Key figures of the projection under one change at a time."""
+    """Key figures of the projection under one change of its construction at a time."""
+    from creditweave.queries.more import key_figures
+
     c, n = cut(credits(spark, base)), cut(nodes(spark, base))
-    grid = {"base": project.Weights(), "most_5": project.Weights(most=5), "most_6": project.Weights(most=6), "umbrella_0.1": project.Weights(umbrella=0.1), "no_track_term": project.Weights(per_track=0.0), "weight_0.5": project.Weights(least_weight=0.5)}
+    sizes = cut(c.groupBy("release_id").agg(F.count_distinct("artist_id").alias("n_credited"), F.count_distinct(F.when(F.col("scope") == "main", F.col("artist_id"))).alias("n_main")))
+    none = sizes.select("release_id").limit(0)
+    filtered = lambda **kw: project.filter_credits(c, sizes, none, **kw)
+    often = n.where("n_release >= 10")
+    grid = {
+        "default": (c, n, project.Weights()), "most_5": (c, n, project.Weights(most=5)), "most_12": (c, n, project.Weights(most=12)), "weight_0.5": (c, n, project.Weights(least_weight=0.5)), "weight_1": (c, n, project.Weights(least_weight=1.0)),
+        "no_compilations": (filtered(exclude_compilations=True), n, project.Weights()), "no_track_credits": (filtered(track_credits=False), n, project.Weights()), "specificity_1_1_1": (c, n, project.Weights(1.0, 1.0, 1.0)),
+        "specificity_1_0.5_0.1": (c, n, project.Weights(1.0, 0.5, 0.1)), "ten_releases": (c.join(often, "artist_id", "left_semi"), often, project.Weights()),
+    }
     out = None
-    for name, w in grid.items():
-        e = cut(project.project(c, w))
-        x = homophily.edge_classes(e, n, "gender")
-        r = homophily.assortativity(homophily.mixing(x)).select("r")
-        one = e.agg(F.count(F.lit(1)).alias("n_edges"), F.median("w").alias("w_median")).crossJoin(r).withColumn("variant", F.lit(name))
+    for name, (part, pop, w) in grid.items():
+        one = key_figures(project.project(part, w), pop).withColumn("variant", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return _r(out)
 
