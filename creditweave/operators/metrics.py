@@ -37,6 +37,14 @@ def accuracy_by(df: DataFrame, truth: str, guess: str, by: str) -> DataFrame:
     return known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
 
 
+def replica_summary(df: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:
+    """Replicas, mean, sample standard deviation, least, most and the middle 95 % of a figure."""
+    return df.groupBy(*by).agg(
+        F.count(value).alias("replicas"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.round(F.percentile(value, F.lit(0.025)), digits).alias("lo"), F.round(F.percentile(value, F.lit(0.975)), digits).alias("hi"),
+    )
+
+
 def bins(value: F.Column, edges: list[float]) -> F.Column:
     """Label of the right-closed bin that a value falls in; null outside."""
     out = F.lit(None).cast("string")

@@ -85,6 +85,12 @@ def unique_name_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return l.join(r, on)
 
 
+def exact_join(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
+    """Inner join on an id, ids that ``right`` gives several labels left out; repeated rows of ``right`` count once."""
+    one = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("__most")).where(F.col(label) == F.col("__most")).drop("__most")
+    return left.join(one, key)
+
+
 def rank_quintile(df: DataFrame, column: str, key: str, bins: int = 5, by: list[str] | None = None) -> DataFrame:
     """Bin 1..bins of each row by rank, edges at equal steps of the rank; ties by ``key``."""
     r = group_rank(df, by or [], [column, key])

@@ -109,6 +109,11 @@ def MTH8_stable(spark, base):
 # ---- joins of tables
 
 
+def JN8_exact_ids(spark, base):
+    """Artists joined on their id with a second source, ids that it gives to several releases left out."""
+    return population.exact_join(load(spark, base, "validation_sample", "artist_id", "gender"), load(spark, base, "raw_rta", "artist_id", "release_id"), "artist_id", "release_id")
+
+
 def JN9_disagreements(spark, base):
     """First names that two dictionaries give to different classes."""
     v = load(spark, base, "validation_sample").where("not is_group").withColumn("fn", F.lower(T.first_token(F.col("name_clean"))))
@@ -171,6 +176,13 @@ def AGG18_totals(spark, base):
     return e.orderBy(F.desc("total"), "user_id").limit(20)
 
 
+def AGG24_replicas(spark, base):
+    """Summary of a figure over the replicas of each category, events standing for replicas."""
+    from creditweave.operators import metrics
+
+    return metrics.replica_summary(load(spark, base, "events", "event_type", "value"), ["event_type"], "value")
+
+
 def AGG21_by_bin(spark, base):
     from creditweave.operators import metrics
 
@@ -211,6 +223,12 @@ def GRF15_mean_clustering(spark, base):
     return _r(out.where("n_nodes > 0"), 7)
 
 
+def GRF19_histogram(spark, base):
+    """Edges of the projection by shared partners, 26 and more together."""
+    x = graph.shared_partners(cut(network.GRF1_projection(spark, base)))
+    return x.groupBy(F.least("esp", F.lit(26)).alias("esp"), (F.col("esp") > 25).alias("overflow")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def GRF21_subnetworks(spark, base):
     """Edges within each of the five genres of most artists, within each era, and of all."""
     n = network.nodes(spark, base).withColumn("era", F.when(F.col("debut_year") <= 1995, "early").when(F.col("debut_year") > 1995, "late"))
@@ -378,6 +396,18 @@ _EIGEN = _EDGES + _components() + _GIANT + _iterated(
 )
 
 
+_TRIANGLES = """, sd AS MATERIALIZED (SELECT u AS a, v AS b, w FROM {0} UNION ALL SELECT v, u, w FROM {0}), dg AS MATERIALIZED (SELECT a AS node, count(*) AS d FROM sd GROUP BY 1),
+og AS MATERIALIZED (SELECT a, b, w FROM sd JOIN dg x ON x.node = a JOIN dg y ON y.node = b WHERE (x.d, a) < (y.d, b)),
+tr AS MATERIALIZED (SELECT p.a AS n1, p.b AS n2, q.b AS n3, p.w AS w12, q.w AS w13, c.w AS w23 FROM og p JOIN og q ON p.a = q.a JOIN og c ON c.a = p.b AND c.b = q.b)"""
+_PARTNERS = _EDGES + _TRIANGLES.format("edges") + """,
+es AS (SELECT least(x, y) AS u, greatest(x, y) AS v, count(*) AS n FROM (SELECT n1 AS x, n2 AS y FROM tr UNION ALL SELECT n1, n3 FROM tr UNION ALL SELECT n2, n3 FROM tr) GROUP BY 1, 2),
+ic AS MATERIALIZED (SELECT DISTINCT artist_id AS a, release_id AS r FROM credits SEMI JOIN edges_rb USING (release_id)), ks AS (SELECT r, count(*) AS k FROM ic GROUP BY 1),
+wk AS MATERIALIZED (SELECT x.a AS u, y.a AS v, r FROM ic x JOIN ic y USING (r) WHERE x.a < y.a), ws AS (SELECT u, v, count(*) AS n_shared, max(k) AS largest_cast FROM wk JOIN ks USING (r) GROUP BY 1, 2),
+xp AS (SELECT u, v, count(DISTINCT ic.a) AS n FROM wk JOIN ic USING (r) WHERE ic.a <> u AND ic.a <> v GROUP BY 1, 2),
+esp AS MATERIALIZED (SELECT e.u, e.v, coalesce(es.n, 0) AS esp, coalesce(xp.n, 0) AS esp_explained, coalesce(n_shared, 0) AS n_shared, largest_cast, greatest(coalesce(largest_cast, 0) - 2, 0) AS ceiling,
+  coalesce(es.n, 0) > greatest(coalesce(largest_cast, 0) - 2, 0) AS beyond FROM edges e LEFT JOIN es USING (u, v) LEFT JOIN ws USING (u, v) LEFT JOIN xp USING (u, v))"""
+
+
 def _role_net(name: str, where: str) -> str:
     return f"""
 {name}_s AS (SELECT artist_id, release_id, max(CASE scope WHEN 'main' THEN 70 ELSE 30 END) AS s FROM rc WHERE {where} GROUP BY 1, 2),
@@ -409,6 +439,18 @@ def _rx(p: str) -> str:
 
 
 SQL = {
+    "GRF17_shared_partners_whole": _PARTNERS + " SELECT * FROM esp",
+    "AGG27_esp_histogram_whole": _PARTNERS + " SELECT least(esp, 26)::bigint AS esp, count(*) AS n, round(avg(coalesce(esp_explained / nullif(esp, 0), 0)), 8) AS explained FROM esp GROUP BY 1",
+    "GRF18_summary_whole": _PARTNERS + " SELECT count(*) AS n_edges, round(avg(esp), 8) AS esp_mean, count(*) FILTER (WHERE esp = 0) AS n_zero, count(*) FILTER (WHERE esp > 0 AND esp = esp_explained) AS n_explained, round(sum(esp_explained) / nullif(sum(esp), 0), 8) AS explained_share FROM esp",
+    "AGG28_ceiling_whole": _PARTNERS + " SELECT beyond, count(*) AS n, round(avg(esp), 8) AS esp_mean, median(n_shared) AS shared_median, max(largest_cast) AS largest_cast FROM esp GROUP BY 1",
+    "GRF19_histogram": _PARTNERS + " SELECT least(esp, 26)::bigint AS esp, esp > 25 AS overflow, count(*) AS n FROM esp GROUP BY 1, 2",
+    "GRF14_clustering_whole": _EDGES + _components() + _GIANT + _TRIANGLES.format("g") + """, top AS (SELECT max(w) AS t FROM g),
+pt AS (SELECT node, count(*) AS t, sum(gm) AS gm FROM (SELECT unnest([n1, n2, n3]) AS node, pow(w12 / t * (w13 / t) * (w23 / t), 1.0::double / 3) AS gm FROM tr, top) GROUP BY 1)
+SELECT node, coalesce(t, 0) AS triangles, round(coalesce(t / nullif(d * (d - 1) / 2, 0), 0), 7) AS clustering, round(coalesce(gm / nullif(d * (d - 1) / 2, 0), 0), 7) AS weighted FROM dg LEFT JOIN pt USING (node)""",
+    "JN8_exact_ids": """
+WITH amb AS (SELECT artist_id FROM raw_rta GROUP BY 1 HAVING count(DISTINCT release_id) > 1), f AS (SELECT artist_id, min(release_id) AS release_id FROM raw_rta WHERE artist_id NOT IN (SELECT artist_id FROM amb) GROUP BY 1)
+SELECT v.artist_id, v.gender, f.release_id FROM validation_sample v JOIN f USING (artist_id)""",
+    "AGG24_replicas": "SELECT event_type, count(*) AS replicas, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY 1",
     "SRC6_union": "SELECT DISTINCT artist_id, release_id FROM (SELECT artist_id, release_id FROM raw_ra UNION ALL SELECT artist_id, release_id FROM raw_rta)",
     "SRC12_accumulated": "SELECT doc_id, string_agg(DISTINCT subject, '|' ORDER BY subject) AS subjects FROM doc_subjects JOIN subject_areas USING (subject) GROUP BY 1",
     "FIL15_valid_ids": "SELECT DISTINCT release_id, sequence, n AS track_no FROM (SELECT release_id, sequence, CASE WHEN regexp_full_match(t, '\\s*[0-9]{1,18}\\s*') THEN try_cast(trim(t) AS BIGINT) END AS n FROM (SELECT *, substring(trim(track_id), 2, 30) AS t FROM raw_reltracks)) WHERE n BETWEEN 1 AND 2147483647",

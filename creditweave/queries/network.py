@@ -580,8 +580,17 @@ ed AS (SELECT (a.g = 'F' AND b.g = 'F')::int AS same_f, (a.g = 'M' AND b.g = 'M'
 SELECT pr.*, coalesce(n_edges, 0) AS n_edges FROM pr LEFT JOIN ed USING (same_f, same_m, same_genre, same_cohort, product) WHERE n_pairs > 0""",
 }
 
+# read several times each
+for _name in ("GRF14_clustering", "GRF17_shared_partners"):
+    for _part in ("\ndated AS (", "\ndc AS (", " g AS (", " s AS (", "\ni AS (", "\nwk AS ("):
+        SQL[_name] = SQL[_name].replace(_part, _part.replace("AS (", "AS MATERIALIZED ("))
 _E17 = SQL["GRF17_shared_partners"]
+# a year and genre as one number, for the SQL that is written for years
+_CELLS = _DATED + ", gi AS (SELECT genre, row_number() OVER (ORDER BY genre) AS i FROM (SELECT DISTINCT genre FROM nodes)), cellsd AS MATERIALIZED (SELECT u, v, d.year * 100 + i AS year FROM dated d JOIN known x ON u = x.artist_id JOIN known y ON v = y.artist_id JOIN gi ON gi.genre = x.genre WHERE x.genre = y.genre)"
 SQL |= {
+    "NUL13_cell_expectations": "SELECT (c.year // 100)::int AS year, gi.genre, category, n_category, observed, expected_uniform, expected, ratio, ratio_configuration, relative_degree FROM ("
+    + SQL["NUL10_degree_strata"].replace("FROM dated d JOIN known x", "FROM cellsd d JOIN known x").replace(_DATED, _CELLS)
+    + ") c JOIN (SELECT genre, row_number() OVER (ORDER BY genre) AS i FROM (SELECT DISTINCT split_part(p_type, ' ', 1) AS genre FROM part)) gi ON gi.i = c.year % 100",
     "AGG27_esp_histogram": f"SELECT least(esp, 26)::bigint AS esp, count(*) AS n, round(avg(coalesce(esp_explained / nullif(esp, 0), 0)), 8) AS explained FROM ({_E17}) GROUP BY 1",
     "GRF18_summary": f"SELECT count(*) AS n_edges, round(avg(esp), 8) AS esp_mean, count(*) FILTER (WHERE esp = 0) AS n_zero, count(*) FILTER (WHERE esp > 0 AND esp = esp_explained) AS n_explained, round(sum(esp_explained) / nullif(sum(esp), 0), 8) AS explained_share FROM ({_E17})",
     "AGG28_ceiling": f"SELECT beyond, count(*) AS n, round(avg(esp), 8) AS esp_mean, median(n_shared) AS shared_median, max(largest_cast) AS largest_cast FROM ({_E17}) GROUP BY 1",
