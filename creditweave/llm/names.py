@@ -2,10 +2,11 @@
 
 Each name (and real name) is taken apart into a core, the rarest long word such as a family
 name, and what stands beside it: given names, initials, nicknames, titles, a number that
-tells bearers apart, or the kind of group.  Cores within one edit of each other are found by
-a pigeonhole join: a core is cut into two segments, one of which an edit leaves alone, and
-prefixes and suffixes of the cores, for each length within reach, are looked up in an
-inverted index of the segments; hits are verified with a banded edit distance.  Names
+tells bearers apart, or the kind of group.  Cores within k edits of each other are found by
+a pigeonhole join: a core is cut into k + 1 segments, one of which k edits leave alone, and
+substrings of the cores, shifted as far as the edits allow, are looked up for each length
+within reach in an inverted index of the segments; hits are verified with a banded edit
+distance.  Names
 of the same or of a neighbouring core are then compared by their other parts and by the
 rough agreement of years, and the links are closed over by connected components.
 """
@@ -31,8 +32,8 @@ from creditweave.session import cut
 COMMON_SHARE, COMMON_ROWS = 0.0015, 10
 #: Nicknames written beside a given name count if in this share of the rows (and NICK_ROWS).
 NICK_SHARE, NICK_ROWS = 2e-5, 2
-EDITS = 1
-SHORTEST = 5  # letters of a core from which edits are allowed
+#: Edits that two cores may be apart, and letters that a core needs for each of them.
+EDITS, SHORTEST = 1, 5
 NEAR, FAR = 2, 4  # years apart up to which rows agree, and from which they disagree
 
 # Fixed values.
@@ -135,6 +136,8 @@ class Folder:
         self.own = {chr(c) for c in range(0x0430, 0x0460)} - {o.lower() for o in latin}
 
     def __call__(self, text: str) -> str:
+        if text.isascii() and text.isprintable():
+            return text.lower()
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not is_hidden(c))
         if text.isascii():
             return text.lower()
@@ -245,7 +248,7 @@ def common_words(names: DataFrame) -> tuple[set[str], dict[str, set[str]]]:
     return common, dict(nicks)
 
 
-_FORM = "id long, is_group boolean, core string, given array<string>, nicks array<string>, number int, kinds array<string>, year int, gender string, alias boolean"
+_FORM = "id long, form string, is_group boolean, core string, given array<string>, nicks array<string>, number int, kinds array<string>, year int, gender string, alias boolean"
 
 
 def _parse(common: set[str]):
@@ -266,61 +269,91 @@ def _parse(common: set[str]):
                     if not p.core or key in seen:
                         continue
                     seen.add(key)
-                    out.append((i, is_group, p.core, p.given, p.nicks, p.number, p.kinds, year, gender, alias))
-            kinds = [pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_()]
-            names = ["id", "is_group", "core", "given", "nicks", "number", "kinds", "year", "gender", "alias"]
+                    said = (is_group, p.core, p.given, p.nicks, p.number, p.kinds, year, gender, alias)
+                    out.append((i, repr(said), *said))
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_()]
+            names = ["id", "form", "is_group", "core", "given", "nicks", "number", "kinds", "year", "gender", "alias"]
             cols = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return run
 
 
-def _keys(probe: bool):
-    """Segments of cores for the index, or prefixes and suffixes to look up."""
+def segment_starts(n: int, edits: int) -> list[int]:
+    """Where the edits + 1 segments of a core of n letters begin, and its end."""
+    return [i * n // (edits + 1) for i in range(edits + 2)]
+
+
+def segment_keys(core: str, edits: int) -> set[str]:
+    """The segments of a core with its length and their number."""
+    n = len(core)
+    at = segment_starts(n, edits)
+    return {f"{n}.{i}.{core[at[i] : at[i + 1]]}" for i in range(edits + 1)}
+
+
+def probe_keys(core: str, edits: int) -> set[str]:
+    """Substrings of a core that are a segment of any core within reach.
+
+    Of edits + 1 segments of the other core one is left alone, with at most as many edits
+    before it as there are segments before it, and likewise behind it; that bounds its shift.  A swap of neighbours
+    over the end of a segment touches two of them, so it is also undone at each such place.
+    """
+    m, out = len(core), set()
+    for n in range(max(SHORTEST * edits, m - edits), m + edits + 1):
+        at, off = segment_starts(n, edits), m - n
+        forms = {core}
+        if abs(off) < edits:
+            for end in at[1:-1]:
+                for p in range(max(1, end - edits + 1), min(m - 1, end + edits - 1) + 1):
+                    forms.add(core[: p - 1] + core[p] + core[p - 1] + core[p + 1 :])
+        for form in forms:
+            for i in range(edits + 1):
+                size = at[i + 1] - at[i]
+                for p in range(max(0, at[i] - i, at[i] + off - (edits - i)), min(m - size, at[i] + i, at[i] + off + edits - i) + 1):
+                    out.add(f"{n}.{i}.{form[p : p + size]}")
+    return out
+
+
+def _keys(probe: bool, edits: int):
+    """Segments of cores for the index, or substrings to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cores, keys = [], []
             for g, core in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(core)
-                if n < SHORTEST:
-                    continue
-                found = set()
-                if not probe:
-                    found = {f"{g}{n}<{core[: n // 2]}", f"{g}{n}>{core[n // 2 :]}"}
-                else:
-                    for size in range(max(SHORTEST, n - EDITS), n + EDITS + 1):
-                        half = size // 2
-                        found |= {f"{g}{size}<{core[:half]}", f"{g}{size}>{core[n - (size - half) :]}"}
-                    # a swap across the cut touches both segments
-                    half = n // 2
-                    swapped = core[: half - 1] + core[half] + core[half - 1] + core[half + 1 :]
-                    found |= {f"{g}{n}<{swapped[:half]}"}
-                cores += [core] * len(found)
-                keys += found
+                if len(core) >= SHORTEST * edits:
+                    found = probe_keys(core, edits) if probe else segment_keys(core, edits)
+                    cores += [core] * len(found)
+                    keys += [g + k for k in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(cores, pa.string())], ["key", "core"])
 
     return run
 
 
-def near_cores(cores: DataFrame) -> DataFrame:
-    """``is_group, core_a, core_b`` with core_a < core_b: pairs of the distinct ``cores(is_group, core)`` one edit apart.
+def near_cores(cores: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``is_group, core_a, core_b`` with core_a < core_b: pairs of the distinct ``cores(is_group, core)`` up to ``edits`` apart.
 
-    Complete: of two segments an edit leaves one alone, or is a swap across the cut.
-    Cores shorter than SHORTEST have no neighbours.
+    Complete, with one edit allowed for each SHORTEST letters of the shorter core.
     """
     tagged = cores.select(F.when(F.col("is_group"), "g").otherwise("p").alias("g"), "core")
-    index = tagged.mapInArrow(_keys(False), "key string, core string")
-    probes = tagged.mapInArrow(_keys(True), "key string, core string").withColumnRenamed("core", "other")
-    # swaps of neighbours are two edits here; what is left is verified with the banded distance
-    close = F.levenshtein("core", "other", 2 * EDITS).between(0, 2 * EDITS)
-    pairs = index.join(probes, "key").where("core <> other").where(close).select(F.substring("key", 1, 1).alias("g"), F.least("core", "other").alias("core_a"), F.greatest("core", "other").alias("core_b")).distinct()
-
+    found = None
+    for e in range(1, edits + 1):
+        index = tagged.mapInArrow(_keys(False, e), "key string, core string")
+        probes = tagged.mapInArrow(_keys(True, e), "key string, core string").withColumnRenamed("core", "other")
+        # swaps of neighbours are two edits here; what is left is verified with the banded distance
+        close = F.levenshtein("core", "other", 2 * e).between(0, 2 * e)
+        pairs = index.join(probes, "key").where("core < other").where(close).select(F.substring("key", 1, 1).alias("g"), F.col("core").alias("core_a"), F.col("other").alias("core_b")).distinct()
+        one = pairs.where(_within(e)("core_a", "core_b")).select((F.col("g") == "g").alias("is_group"), "core_a", "core_b")
+        found = one if found is None else found.unionByName(one).distinct()
+    return found
+
+
+def _within(edits: int):
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([banded_distance(x, y, EDITS) <= EDITS for x, y in zip(a, b)])
+        return pd.Series([banded_distance(x, y, edits) <= edits for x, y in zip(a, b)])
 
-    return pairs.where(within("core_a", "core_b")).select((F.col("g") == "g").alias("is_group"), "core_a", "core_b")
+    return within
 
 
 class Matcher:
@@ -398,7 +431,7 @@ def _link_blocks(common: set[str], nicks: dict[str, set[str]]):
         def close(key: tuple[bool, str], forms: list[_Form]) -> None:
             if len(forms) > 1:
                 guests = "|" in key[1]
-                links.extend(_group_links(forms) if key[0] else _person_links(matcher, forms, guests))
+                links.extend(_stars(_group_links(forms) if key[0] else _person_links(matcher, forms, guests)))
 
         now, forms = None, []
         for b in batches:
@@ -417,6 +450,25 @@ def _link_blocks(common: set[str], nicks: dict[str, set[str]]):
     return run
 
 
+def _stars(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The same sets with one link less than they have members, to the smallest of them."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    for x in list(up):
+        if top(x) != x:
+            yield x, top(x)
+
+
 def _group_links(forms: list[_Form]) -> Iterator[tuple[int, int]]:
     by: dict[tuple, list[_Form]] = defaultdict(list)
     for f in forms:
@@ -533,17 +585,17 @@ def _across(left: list[_Form], right: list[_Form]) -> Iterator[tuple[int, int]]:
                 yield a.rep, b.rep
 
 
-def name_links(rows: DataFrame, key: str) -> DataFrame:
+def name_links(rows: DataFrame, key: str, edits: int = EDITS) -> DataFrame:
     """``u, v``: links between rows of ``rows(key, name, realname, is_group, debut_year, gender)``."""
     base = rows.select(F.col(key).alias("id"), "name", "realname", "is_group", F.col("debut_year").cast("double").alias("debut_year"), "gender")
     common, nicks = common_words(base.select("name", "is_group"))
     forms = cut(base.mapInArrow(_parse(common), _FORM))
     # rows that say the same are one form; its smallest id stands for it
     parts = ["is_group", "core", "given", "nicks", "number", "kinds", "year", "gender", "alias"]
-    same = forms.groupBy(*parts).agg(F.min("id").alias("rep"))
-    inside = forms.join(same.withColumnRenamed("rep", "v"), [forms[p].eqNullSafe(same[p]) for p in parts]).select(F.col("id").alias("u"), "v")
-    same = cut(same)
-    near = cut(near_cores(same.select("is_group", "core").distinct()))
+    same = cut(forms.groupBy("form").agg(F.min("id").alias("rep"), *[F.first(p).alias(p) for p in parts]))
+    inside = forms.select("id", "form").join(same.select("form", F.col("rep").alias("v")), "form").where("id <> v").select(F.col("id").alias("u"), "v")
+    same = same.select("rep", *parts)
+    near = cut(near_cores(same.select("is_group", "core").distinct(), edits))
     home = same.withColumn("block", F.col("core"))
     pairs = near.select("is_group", F.concat_ws("|", "core_a", "core_b").alias("block"), F.explode(F.array("core_a", "core_b")).alias("core"))
     guest = same.join(pairs, ["is_group", "core"])
@@ -552,7 +604,7 @@ def name_links(rows: DataFrame, key: str) -> DataFrame:
     return inside.unionByName(linked)
 
 
-def linked_sets(rows: DataFrame, key: str) -> DataFrame:
+def linked_sets(rows: DataFrame, key: str, edits: int = EDITS) -> DataFrame:
     """``key, entity, n_rows``: each row with the smallest key of its linked set and the rows of the set.
 
     Rows without a name and real name, or with blank ones only, are sets of their own.
@@ -560,13 +612,13 @@ def linked_sets(rows: DataFrame, key: str) -> DataFrame:
     a person.  Persons and groups are never linked.  Keys must be unique.
     """
     own = rows.select(F.col(key).alias("u"), F.col(key).alias("v"))
-    found = cut(connected_components(name_links(rows, key).unionByName(own)))
+    found = cut(connected_components(name_links(rows, key, edits).unionByName(own)))
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("n_rows"))
     return found.join(size, "component").select(F.col("node").alias(key), F.col("component").alias("entity"), "n_rows")
 
 
-def linked_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """All pairs of rows of the same linked set, ``<key>_a < <key>_b``."""
-    sets = linked_sets(rows, key).where("n_rows > 1")
+def linked_pairs(rows: DataFrame, key: str, edits: int = EDITS) -> DataFrame:
+    """All pairs of rows of the same linked set, ``<key>_a < <key>_b``; ``linked_sets`` has the membership alone."""
+    sets = linked_sets(rows, key, edits).where("n_rows > 1")
     a, b = (sets.select("entity", F.col(key).alias(f"{key}_{s}")) for s in "ab")
     return a.join(b, "entity").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")

@@ -117,6 +117,19 @@ def test_near_cores_are_complete(spark):
     assert got == want
 
 
+def test_near_cores_of_two_edits_are_complete(spark):
+    rng = random.Random(6)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(8, 13))) for _ in range(160)}
+    got = {(r[1], r[2]) for r in names.near_cores(spark.createDataFrame([(False, w) for w in words], "is_group boolean, core string"), 2).collect()}
+    want = {(a, b) for a in words for b in words if a < b and _osa(a, b) <= (2 if min(len(a), len(b)) >= 2 * names.SHORTEST else 1)}
+    assert got == want and any(_osa(a, b) == 2 for a, b in got)
+
+
+def test_links_of_a_block_become_stars():
+    got = sorted(names._stars(iter([(5, 7), (7, 3), (9, 8), (4, 4)])))
+    assert got == [(5, 3), (7, 3), (9, 8)]
+
+
 def _osa(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
