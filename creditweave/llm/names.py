@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -122,6 +123,18 @@ def banded_distance(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+class Remembered(dict):
+    """A table for ``str.translate`` that asks once for each character."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, code: int) -> str | None:
+        self[code] = got = self.of(chr(code))
+        return got
+
+
 class Folder:
     """Names in small letters without accents, hidden signs and look-alikes; words of mostly Cyrillic letters stay Cyrillic."""
 
@@ -130,23 +143,22 @@ class Folder:
         for line in LETTERS.strip().splitlines():
             first, *others = line.split(" ")
             latin |= {o: first for o in others}
-        self.to_latin = str.maketrans({o: f for o, f in latin.items() if len(o) == 1})
         back = {f.lower(): o.lower() for o, f in latin.items() if "Ѐ" <= o <= "ԯ" and f.isalpha() and o.islower()}
         self.to_cyrillic = str.maketrans({k: v for k, v in back.items() if k in "aceopxyk"} | {"p": "р", "c": "с"})
+        self.seen, self.plain = Remembered(lambda c: None if is_hidden(c) else c), Remembered(lambda c: None if unicodedata.combining(c) else latin.get(c, c))
         self.own = {chr(c) for c in range(0x0430, 0x0460)} - {o.lower() for o in latin}
 
     def __call__(self, text: str) -> str:
         if text.isascii() and text.isprintable():
             return text.lower()
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not is_hidden(c))
+        text = unicodedata.normalize("NFKD", text).translate(self.seen)
         if text.isascii():
             return text.lower()
         low = text.lower()
         if sum(c in self.own for c in low) > 1:
             low = unicodedata.normalize("NFC", low)  # й and ё are letters of their own
             return low.translate(self.to_cyrillic)
-        text = "".join(c for c in text if not unicodedata.combining(c))
-        return text.translate(self.to_latin).lower()
+        return text.translate(self.plain).lower()
 
 
 _NUMBER = re.compile(r"\s*\(\s*(\d+)\s*\)\s*$")
@@ -158,6 +170,12 @@ def words_of(folder: Folder, name: str | None) -> list[str]:
     return _WORD.findall(folder(name or ""))
 
 
+@lru_cache(100_000)
+def kind_of(word: str) -> str | None:
+    """The kind of group that a word names, one edit allowed in longer words."""
+    return KIND_OF.get(word) or next((k for x, k in KIND_OF.items() if len(word) > 4 and banded_distance(word, x, 1) <= 1), None)
+
+
 class Parts:
     """What a name says: core, given words, nicknames, number, kinds."""
 
@@ -171,10 +189,12 @@ class Parts:
             s = s[: m.start()]
         nicks: list[str] = []
         if not is_group:
-            for a in _ASIDE.finditer(s):
-                nicks += _WORD.findall(next(filter(None, a.groups()), ""))
-            s = _ASIDE.sub(" ", s)
-            s = re.sub(r"\bm\.\s?o\b", " ", s)
+            if any(c in s for c in "\"(“”"):
+                for a in _ASIDE.finditer(s):
+                    nicks += _WORD.findall(next(filter(None, a.groups()), ""))
+                s = _ASIDE.sub(" ", s)
+            if "m." in s:
+                s = re.sub(r"\bm\.\s?o\b", " ", s)
             head, comma, tail = s.partition(",")
             if comma and tail.strip():
                 s = f"{tail} {head}"
@@ -183,7 +203,7 @@ class Parts:
         if is_group:
             rest = []
             for w in words:
-                kind = KIND_OF.get(w) or (next((k for x, k in KIND_OF.items() if len(w) > 4 and banded_distance(w, x, 1) <= 1), None))
+                kind = kind_of(w)
                 if kind:
                     kinds.append(kind)
                 elif w not in FILLERS:
