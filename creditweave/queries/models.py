@@ -96,7 +96,7 @@ def REG8_centralities(spark, base):
 
 def REG9_sampled_betweenness(spark, base):
     """The additive model on betweenness from 400 sources."""
-    b = graph.betweenness(network._giant(spark, base), sources=400)
+    b = cut(graph.betweenness(network._giant(spark, base), sources=400))
     d = b.join(network.known(spark, base), F.col("node") == F.col("artist_id")).withColumn("female", (F.col("gender") == "F").cast("double")).withColumn("log_n", maths.log_count(F.col("n_release")))
     x, genres = regress.dummies(regress.pool_rare(d, "genre", 20), "genre")
     return regress.ols_table(x.withColumn("__y", maths.log_rank(F.col("betweenness"))), "__y", ["female", *genres, "log_n"])
@@ -104,7 +104,7 @@ def REG9_sampled_betweenness(spark, base):
 
 def REG7_permuted_coefficient(spark, base):
     """Coefficient of gender in the additive model of degree, and its p by permutation within genre, cohort and quintile of releases."""
-    d = homophily.degrees(network.dated(spark, base)).join(network.known(spark, base), F.col("node") == F.col("artist_id"))
+    d = cut(homophily.degrees(network.dated(spark, base)).join(network.known(spark, base), F.col("node") == F.col("artist_id")))
     d = d.withColumn("female", (F.col("gender") == "F").cast("double")).withColumn("log_n", maths.log_count(F.col("n_release"))).withColumn("cohort", F.col("cohort").cast("string")).withColumn("__y", F.log1p("degree"))
     x, genres = regress.dummies(regress.pool_rare(d, "genre", 20), "genre")
     x, cohorts = regress.dummies(x, "cohort")

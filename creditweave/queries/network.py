@@ -320,7 +320,8 @@ def REG3_case_control(spark, base):
 
 
 def _design(spark, base):
-    d = homophily.degrees(dated(spark, base)).join(known(spark, base), F.col("node") == F.col("artist_id"))
+    # a row per node, read for the levels and twice for the fit
+    d = cut(homophily.degrees(dated(spark, base)).join(known(spark, base), F.col("node") == F.col("artist_id")))
     d = regress.pool_rare(d.withColumn("genre", F.col("genre")), "genre", 20)
     d = d.withColumn("y", F.log1p("degree")).withColumn("female", (F.col("gender") == "F").cast("double")).withColumn("log_n", F.log(F.greatest("n_release", F.lit(1))))
     return regress.dummies(d, "genre")
