@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from creditweave.session import cut
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes, equal for equal sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 100) -> DataFrame:
     """``node, component``: the smallest node id of the component of each node that has an edge.
 
@@ -19,6 +24,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
     both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
     nodes = both.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = cut(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    known = _print(e)
     for _ in range(most_rounds):
         # large star: larger neighbours of a node go to its smallest one
         sym = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,9 +34,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x"))
         new = cut(small.select("x.a", "x.b").where("a <> b").distinct())
-        same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, known = known, _print(new)
         e = new
-        if same:
+        if known == before:
             break
     else:
         raise RuntimeError(f"components still change after {most_rounds} rounds")
