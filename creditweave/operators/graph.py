@@ -294,3 +294,23 @@ def snowball(edges: DataFrame, start: list[int], most_nodes: int) -> DataFrame:
         met = cut(met.unionByName(front))
     n = met.select("node")
     return edges.join(n.withColumnRenamed("node", "u"), "u", "left_semi").join(n.withColumnRenamed("node", "v"), "v", "left_semi")
+
+
+def trimmed(sample: DataFrame, most_edges: int, least_nodes: int = 200, most_rows: int = 2_000_000) -> DataFrame:
+    """Edges of the largest component of a sample from which hubs are taken, the largest first, until ``most_edges`` edges or ``least_nodes`` nodes are left.
+
+    A sample is small; one of more than ``most_rows`` edges is refused.  Of equal degrees the smallest id goes first.
+    """
+    import numpy as np
+
+    pdf = sample.select("u", "v").limit(most_rows + 1).toPandas()
+    if len(pdf) > most_rows:
+        raise ValueError(f"more than {most_rows} edges; take a smaller sample")
+    ids, code = np.unique(pdf[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    ends = code.reshape(-1, 2)
+    left = len(ids)
+    while len(ends) > most_edges and left > least_nodes:
+        hub = int(np.bincount(ends.ravel(), minlength=len(ids)).argmax())
+        ends, left = ends[(ends != hub).all(1)], left - 1
+    kept = sample.sparkSession.createDataFrame([(int(ids[a]), int(ids[b])) for a, b in ends], "u long, v long")
+    return sample.join(giant_component(kept), ["u", "v"], "left_semi")

@@ -122,6 +122,16 @@ def REG4_case_control_by_year(spark, base):
     return out
 
 
+def REG3_node_bootstrap(spark, base):
+    """Case-control logit with intervals from 200 random halves of the nodes."""
+    return dyads.node_bootstrap(cut(network.known(spark, base)), cut(network.dated(spark, base)))
+
+
+def GRF20_trimmed(spark, base):
+    """The snowball of up to 1500 nodes without hubs until 6000 edges are left."""
+    return graph.trimmed(cut(network.GRF20_snowball(spark, base)), 6000)
+
+
 def REG14_difference(spark, base):
     """Difference of the coefficients of the first and the last year's exact logit, with z and p."""
     t = cut(network.REG2_logit_by_year(spark, base))

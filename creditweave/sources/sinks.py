@@ -29,7 +29,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def export(tables: dict[str, DataFrame], base: str, gzip_rows: int = GZIP_ROWS, gzip_bytes: int = GZIP_BYTES) -> DataFrame:
-    """Each table as Parquet and CSV below ``base``; returns ``table, rows, columns, bytes``.
+    """Each table as Parquet and CSV below ``base``; returns ``table, rows, columns``.
 
     CSV is compressed if the table has ``gzip_rows`` rows or its Parquet files ``gzip_bytes`` bytes.
     """
@@ -40,8 +40,8 @@ def export(tables: dict[str, DataFrame], base: str, gzip_rows: int = GZIP_ROWS,
         back = spark.read.parquet(f"{base}/parquet/{name}")
         n, size = back.count(), _bytes(spark, f"{base}/parquet/{name}")
         flat(back).write.mode("overwrite").option("header", True).option("compression", "gzip" if n >= gzip_rows or size >= gzip_bytes else "none").csv(f"{base}/csv/{name}")
-        stats.append((name, n, len(back.columns), size))
-    return spark.createDataFrame(stats, "table string, rows long, columns int, bytes long")
+        stats.append((name, n, len(back.columns)))
+    return spark.createDataFrame(stats, "table string, rows long, columns int")
 
 
 def _bytes(spark: SparkSession, path: str) -> int:
@@ -49,6 +49,13 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
+def with_bytes(stats: DataFrame, base: str) -> DataFrame:
+    """What ``export`` returned, with the bytes of each table's Parquet and CSV files."""
+    spark = stats.sparkSession
+    rows = [(*r, _bytes(spark, f"{base}/parquet/{r['table']}"), _bytes(spark, f"{base}/csv/{r['table']}")) for r in stats.collect()]  # a row per table
+    return spark.createDataFrame(rows, "table string, rows long, columns int, parquet_bytes long, csv_bytes long")
+
+
 def manifest(spark: SparkSession, base: str) -> DataFrame:
     """``path, bytes, sha256`` of the files below ``base``; each file is read whole in one task, so part files should stay below 2 GB."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)

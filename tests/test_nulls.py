@@ -135,6 +135,27 @@ def test_class_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_node_bootstrap_holds_the_coefficient(spark):
+    rng = np.random.default_rng(9)
+    nodes = [(i, "F" if rng.random() < 0.4 else "M", "p", 2000, 3) for i in range(400)]
+    edges = [(i, j) for i in range(400) for j in range(i + 1, 400) if rng.random() < (0.06 if nodes[i][1] == nodes[j][1] == "F" else 0.03)]
+    n, e = spark.createDataFrame(nodes, "artist_id long, gender string, genre string, cohort int, n_release long"), spark.createDataFrame(edges, "u long, v long")
+    got = {r["term"]: r for r in dyads.node_bootstrap(n, e, 60).collect()}
+    point = {r["term"]: r["coef"] for r in dyads.case_control(n, e).collect()}
+    assert all(got[t]["coef"] == point[t] for t in point) and got["same_f"]["replicas"] == 60
+    for t in ("same_f", "intercept"):
+        assert got[t]["lo"] < point[t] < got[t]["hi"]
+    assert 0.3 < point["same_f"] < 1.1 and got["same_genre"]["lo"] is None
+    assert dyads.node_bootstrap(n, e.limit(0), 5).count() in (0, 6)
+
+
+def test_hubs_are_taken_until_the_edges_fit(spark):
+    edges = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 12)] + [(20, 21)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    assert {tuple(r) for r in graph.trimmed(e, 15, least_nodes=5).collect()} == {(i, i + 1) for i in range(1, 12)}
+    assert graph.trimmed(e, 1000).count() == len(edges) and graph.trimmed(e.limit(0), 10).count() == 0
+
+
 def test_swaps_keep_degrees_and_mix():
     rng = np.random.default_rng(42)
     pairs = sorted({(int(a), r) for r in range(400) for a in rng.choice(200, int(rng.integers(2, 9)), replace=False)})

@@ -110,12 +110,12 @@ def test_tables_status_and_timings(spark, tmp_path):
 
 def test_export_with_manifest(spark, tmp_path):
     tables = {"t": spark.range(30), "nested": spark.createDataFrame([(1, [1, 2])], "id long, xs array<int>")}
-    stats = sinks.export(tables, f"{tmp_path}/x", gzip_rows=10)
+    stats = sinks.with_bytes(sinks.export(tables, f"{tmp_path}/x", gzip_rows=10), f"{tmp_path}/x")
     sinks.write_manifest(stats, sinks.column_dictionary(tables), sinks.manifest(spark, f"{tmp_path}/x"), f"{tmp_path}/m")
     assert len((tmp_path / "m" / "manifest.csv").read_text().splitlines()) == 3 and "| nested | xs | array<int> |" in (tmp_path / "m" / "MANIFEST.md").read_text()
     assert all(len(x.split()[0]) == 64 for x in (tmp_path / "m" / "checksums.sha256").read_text().splitlines())
     assert list((tmp_path / "x" / "csv" / "t").glob("*.csv.gz")) and list((tmp_path / "x" / "csv" / "nested").glob("*.csv"))
-    assert all(r["bytes"] > 0 for r in stats.collect())
+    assert all(r["parquet_bytes"] > 0 and r["csv_bytes"] > 0 for r in stats.collect())
 
 
 def test_actions_within_a_time(spark):
