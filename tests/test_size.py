@@ -87,3 +87,40 @@ def test_centralities_read_edges_from_files_only(spark, monkeypatch):
             left[y].discard(x)
     s = adjacency.adjacency(df, simple=True, arcs=30, chunk=7).giant()
     assert {r["node"]: r["coreness"] for r in graph.core_numbers(s).collect()} == core
+
+
+def test_credits_of_swaps_stay_off_the_driver(spark, monkeypatch):
+    """Neither rows nor Arrow tables of the credits are asked for; periods that are null belong to the whole only."""
+    import pyspark.sql
+    from creditweave.operators import resample
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(a), int(r)) for a, r in rng.integers(0, 30, (200, 2))})
+    df = spark.createDataFrame([(a, r, None if r % 3 == 0 else 2000 + r % 3) for a, r in rows], "a long, r long, period int")
+
+    def refuse(*_):
+        raise AssertionError("credits at the driver")
+
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(df), name, refuse)
+
+    def figures(a, r, s):
+        import pandas as pd
+
+        return pd.DataFrame({"n": [len(a)], "n_distinct": [len(set(zip(a.tolist(), s.tolist())))], "same": [bool((np.sort(r) == np.sort(s)).all())]})
+
+    got = {(x["period"], x["replica"]): x for x in resample.over_swaps(df, figures, "n long, n_distinct long, same boolean", replicas=2, whole=2).collect()}
+    size = {None: len(rows), **{2000 + k: sum(r % 3 == k for _, r in rows) for k in (1, 2)}}
+    assert set(got) == {(p, b) for p in size for b in (-1, 0, 1)}
+    assert all(x["n"] == x["n_distinct"] == size[p] and x["same"] for (p, _), x in got.items())
+
+
+def test_taken_credits():
+    from creditweave.operators import resample
+
+    rng = np.random.default_rng(4)
+    for size in (3, 50, 4000):
+        there, traded = np.unique(rng.integers(0, 4 * size, size)), rng.integers(0, 4 * size, size)
+        kind, times = np.unique(traded, return_counts=True)
+        want = np.isin(traded, there) | np.isin(traded, kind[times > 1])
+        assert np.array_equal(resample._taken(there, traded), want)
