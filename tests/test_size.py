@@ -124,3 +124,23 @@ def test_taken_credits():
         kind, times = np.unique(traded, return_counts=True)
         want = np.isin(traded, there) | np.isin(traded, kind[times > 1])
         assert np.array_equal(resample._taken(there, traded), want)
+
+
+def test_queries_of_betweenness_follow_sources_in_files(spark, monkeypatch):
+    """GRF9 and REG9 pass files of an adjacency, not edges that are checkpointed and broadcast."""
+    from creditweave.queries import models, network
+
+    class Seen(Exception):
+        pass
+
+    def seen(g, sources=None, **_):
+        raise Seen(type(g).__name__, sources)
+
+    df = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (8, 9, 1.0)], "u long, v long, w double")
+    monkeypatch.setattr(network, "GRF1_projection", lambda *_: df)
+    monkeypatch.setattr(graph, "betweenness", seen)
+    for f, sources in ((models.GRF9_betweenness_exact, None), (models.REG9_sampled_betweenness, 400)):
+        try:
+            f(spark, "")
+        except Seen as e:
+            assert e.args == ("Adjacency", sources)
