@@ -144,3 +144,22 @@ def test_queries_of_betweenness_follow_sources_in_files(spark, monkeypatch):
             f(spark, "")
         except Seen as e:
             assert e.args == ("Adjacency", sources)
+
+
+def test_key_figures_join_edges_once(spark, monkeypatch):
+    """Each r was a join of all edges with their nodes of its own; now all come from one table of classes, with the same values."""
+    from creditweave.operators import homophily
+    from creditweave.queries import more
+
+    e = spark.createDataFrame([(u, v, 1.0 + (u * v) % 3) for u, v in _random(6, 40, 120)], "u long, v long, w double")
+    n = spark.createDataFrame([(i, "F" if i % 3 == 0 else "unknown" if i % 7 == 0 else "M", None if i % 11 == 0 else "ab"[i % 2]) for i in range(39)], "artist_id long, gender string, genre string")
+    classes = homophily.edge_classes
+    r = lambda x, attr, weight=None: homophily.assortativity(homophily.mixing(classes(e, x, attr), weight=weight)).first()["r"]
+    want = [r(n, "gender"), r(n.where("gender in ('F', 'M')"), "gender"), r(n, "gender", "w"), r(n, "genre")]
+
+    def refuse(*_, **__):
+        raise AssertionError("another join of the edges")
+
+    monkeypatch.setattr(homophily, "edge_classes", refuse)
+    got = more.key_figures(e, n).first()
+    assert np.allclose([got[c] for c in ("r_gender", "r_gender_known", "r_gender_weighted", "r_genre")], want, atol=1e-12)
