@@ -163,3 +163,60 @@ def test_key_figures_join_edges_once(spark, monkeypatch):
     monkeypatch.setattr(homophily, "edge_classes", refuse)
     got = more.key_figures(e, n).first()
     assert np.allclose([got[c] for c in ("r_gender", "r_gender_known", "r_gender_weighted", "r_genre")], want, atol=1e-12)
+
+
+def _chain_and_star(spark):
+    """A hub of 300 leaves and a chain of 150, so that levels, a long list and small fronts all occur, beside another component."""
+    edges = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(300, 450)] + [(1, 450), (900, 901)]
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:  # Brandes by the book
+        dist, count, order = {s: 0}, {s: 1}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in dist:
+                    dist[y], count[y] = dist[x] + 1, 0
+                    order.append(y)
+                if dist[y] == dist[x] + 1:
+                    count[y] += count[x]
+        dep = dict.fromkeys(order, 0.0)
+        for y in reversed(order[1:]):
+            for x in near[y]:
+                if dist[x] == dist[y] - 1:
+                    dep[x] += count[x] / count[y] * (1 + dep[y])
+            want[y] += dep[y]
+    return spark.createDataFrame(edges, "u long, v long"), {x: y for x, y in want.items() if x < 900}
+
+
+def test_sources_of_betweenness_run_side_by_side(spark, monkeypatch):
+    """GRF9 and REG9 followed their sources in one job a task, one after the other; now they are tasks of one job."""
+    from pyspark import RDD
+
+    df, want = _chain_and_star(spark)
+    g = adjacency.adjacency(df, simple=True).giant()
+    one_by_one, foreach, tasks = [], RDD.foreach, []
+    monkeypatch.setattr(RDD, "toLocalIterator", lambda self, *_: one_by_one.append(self) or iter(self.collect()))
+    monkeypatch.setattr(RDD, "foreach", lambda self, f: tasks.append(self.getNumPartitions()) or foreach(self, f))
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(g).collect()}
+    k = len(want)
+    assert set(got) == set(want) and all(abs(got[x] - want[x] / ((k - 1) * (k - 2))) < 1e-12 for x in want)
+    assert not one_by_one and len(tasks) == 1 and tasks[0] > 4
+
+
+def test_betweenness_leaves_no_sums_behind(spark):
+    """Sums of the tasks go once they are added, and other components than the largest are not read."""
+    import os
+
+    df, want = _chain_and_star(spark)
+    g = adjacency.adjacency(df, simple=True).giant()
+    at = g.at.removeprefix("file://")
+    before = sorted(os.listdir(at))
+    graph.betweenness(g, sources=40)
+    assert sorted(os.listdir(at)) == before
+    s = np.flatnonzero(g.inside)
+    for rows, piece, batch in ((2048, 1_000_000, 32), (64, 10, 7), (1, 1, 1)):
+        got = graph.brandes(g.at, g.n, g.width, s, batch, g.inside, rows, piece)
+        assert np.allclose(got[g.inside], [want[int(x)] for x in g.ids[g.inside]], rtol=1e-12) and not got[~g.inside].any()
