@@ -165,15 +165,14 @@ def test_key_figures_join_edges_once(spark, monkeypatch):
     assert np.allclose([got[c] for c in ("r_gender", "r_gender_known", "r_gender_weighted", "r_genre")], want, atol=1e-12)
 
 
-def _chain_and_star(spark):
-    """A hub of 300 leaves and a chain of 150, so that levels, a long list and small fronts all occur, beside another component."""
-    edges = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(300, 450)] + [(1, 450), (900, 901)]
+def _brandes(edges):
+    """Sums of the shortest paths through each node over all sources, by the book."""
     near = {}
     for u, v in edges:
         near.setdefault(u, []).append(v)
         near.setdefault(v, []).append(u)
     want = dict.fromkeys(near, 0.0)
-    for s in near:  # Brandes by the book
+    for s in near:
         dist, count, order = {s: 0}, {s: 1}, [s]
         for x in order:
             for y in near[x]:
@@ -188,7 +187,13 @@ def _chain_and_star(spark):
                 if dist[x] == dist[y] - 1:
                     dep[x] += count[x] / count[y] * (1 + dep[y])
             want[y] += dep[y]
-    return spark.createDataFrame(edges, "u long, v long"), {x: y for x, y in want.items() if x < 900}
+    return want
+
+
+def _chain_and_star(spark):
+    """A hub of 300 leaves and a chain of 150, so that levels, a long list and small fronts all occur, beside another component."""
+    edges = [(0, i) for i in range(1, 301)] + [(i, i + 1) for i in range(300, 450)] + [(1, 450), (900, 901)]
+    return spark.createDataFrame(edges, "u long, v long"), {x: y for x, y in _brandes(edges).items() if x < 900}
 
 
 def test_sources_of_betweenness_run_side_by_side(spark, monkeypatch):
@@ -217,6 +222,39 @@ def test_betweenness_leaves_no_sums_behind(spark):
     graph.betweenness(g, sources=40)
     assert sorted(os.listdir(at)) == before
     s = np.flatnonzero(g.inside)
-    for rows, piece, batch in ((2048, 1_000_000, 32), (64, 10, 7), (1, 1, 1)):
+    for rows, piece, batch in ((2048, 1_000_000, 32), (64, 10, 150), (1, 1, 450)):
         got = graph.brandes(g.at, g.n, g.width, s, batch, g.inside, rows, piece)
         assert np.allclose(got[g.inside], [want[int(x)] for x in g.ids[g.inside]], rtol=1e-12) and not got[~g.inside].any()
+
+
+def test_regression_on_betweenness_is_one_job_of_sources(spark, monkeypatch, tmp_path):
+    """REG9 from its tables: the sources are followed in one job, and the coefficients are those of least squares on betweenness by the book."""
+    from pyspark import RDD
+
+    from creditweave.queries import models, network
+
+    rng, base = np.random.default_rng(8), str(tmp_path)
+    rows = {
+        "lineitem": ([(int(p), int(o), i, "ANR"[i % 3]) for i, (p, o) in enumerate(rng.integers(0, (120, 90), (300, 2)))], "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string"),
+        "orders": ([(o, f"{1995 + o % 5}-01-01") for o in range(90)], "o_orderkey long, o_orderdate string"),
+        "part": ([(p, p % 50, "ABC"[p % 3 if p > 9 else p % 2] + " X") for p in range(120)], "p_partkey long, p_size int, p_type string"),
+    }
+    for name, (r, s) in rows.items():
+        d = spark.createDataFrame(r, s)
+        (d.selectExpr("o_orderkey", "date(o_orderdate) as o_orderdate") if name == "orders" else d).write.parquet(f"{base}/{name}.parquet")
+    by_the_book = _brandes([(r["u"], r["v"]) for r in network.GRF1_projection(spark, base).collect()])
+    foreach, tasks = RDD.foreach, []
+    monkeypatch.setattr(RDD, "foreach", lambda self, f: tasks.append(self.getNumPartitions()) or foreach(self, f))
+    got = {r["term"]: r for r in models.REG9_sampled_betweenness(spark, base).collect()}
+    assert len(tasks) == 1
+    d = network.known(spark, base).toPandas().set_index("artist_id")
+    d = d[d.index.isin(by_the_book)].sort_index()
+    k = len(by_the_book)
+    b = np.array([by_the_book[x] for x in d.index]) / ((k - 1) * (k - 2))
+    rare = d["genre"].map(d["genre"].value_counts()) < 20
+    d.loc[rare, "genre"] = "Other"
+    terms = [c for c in got if c.startswith("genre[")]
+    assert {c[6:-1] for c in terms} == set(d["genre"]) - {min(d["genre"])}
+    x = np.column_stack([np.ones(len(d)), d["gender"] == "F", *[d["genre"] == c[6:-1] for c in terms], np.log(d["n_release"].clip(lower=1))])
+    want = dict(zip(["intercept", "female", *terms, "log_n"], np.linalg.lstsq(x.astype(float), np.log1p(b * 1e6), rcond=None)[0]))
+    assert all(got[c]["n"] == len(d) and abs(got[c]["coef"] - want[c]) < 1e-8 for c in want)
