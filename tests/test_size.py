@@ -258,3 +258,43 @@ def test_regression_on_betweenness_is_one_job_of_sources(spark, monkeypatch, tmp
     x = np.column_stack([np.ones(len(d)), d["gender"] == "F", *[d["genre"] == c[6:-1] for c in terms], np.log(d["n_release"].clip(lower=1))])
     want = dict(zip(["intercept", "female", *terms, "log_n"], np.linalg.lstsq(x.astype(float), np.log1p(b * 1e6), rcond=None)[0]))
     assert all(got[c]["n"] == len(d) and abs(got[c]["coef"] - want[c]) < 1e-8 for c in want)
+
+
+def test_regression_on_betweenness_needs_no_weights(spark, monkeypatch):
+    """REG9 summed and rounded the weights of all pairs and then dropped them; its pairs are still those of the projection, with casts too large or of no member, and keys that come in many chunks."""
+    import random
+
+    from creditweave.operators import project
+    from creditweave.queries import network
+
+    rng = random.Random(1)
+    some = lambda share, x: None if rng.random() < share else x
+    rows = [(some(0.02, rng.randrange(-3, 200)), some(0.02, rng.randrange(150)), some(0.5, f"t{rng.randrange(120)}"), "main") for _ in range(900)]
+    rows += [(i % 50, 7, "t7", "main") for i in range(1000)] + [(5, 999, None, "main")] * 100 + [(6, 999, None, "main")]
+    df = spark.createDataFrame(rows, "artist_id long, release_id long, track_key string, scope string").repartition(3)
+    for most in (8, 2):
+        want = {(r["u"], r["v"]) for r in project.project(df, project.Weights(most=most)).collect() if r["u"] is not None}
+        for chunk in (500_000, 37):
+            assert {(r["u"], r["v"]) for r in project.links(df, most, chunk).collect()} == want
+    assert project.links(df.where("false")).count() == 0
+    want = {x for r in project.project(df).collect() if r["u"] is not None for x in (r["u"], r["v"])}
+
+    def refuse(*_):
+        raise AssertionError("weights that nobody reads")
+
+    monkeypatch.setattr(project, "project", refuse)
+    monkeypatch.setattr(network, "credits", lambda *_: df)
+    assert set(network._adjacency(spark, "").ids.tolist()) == want
+
+
+def test_a_source_alone_gives_the_sums_of_a_batch(spark):
+    df, want = _chain_and_star(spark)
+    rng = np.random.default_rng(7)
+    dense = spark.createDataFrame(sorted({(int(min(e)), int(max(e))) for e in rng.integers(0, 80, (900, 2)) if e[0] != e[1]}), "u long, v long")
+    for edges in (df, dense):
+        g = adjacency.adjacency(edges, simple=True, arcs=300).giant()
+        s = np.flatnonzero(g.inside)
+        one, side_by_side = (graph.brandes(g.at, g.n, g.width, s, k, g.inside) for k in (1, 32))
+        assert g.parts > 1 and np.allclose(one, side_by_side, rtol=1e-12)
+    g = adjacency.adjacency(df, simple=True).giant()
+    assert np.allclose(graph.brandes(g.at, g.n, g.width, np.flatnonzero(g.inside), 1, g.inside)[g.inside], [want[int(x)] for x in g.ids[g.inside]], rtol=1e-12)
